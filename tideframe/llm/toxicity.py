@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tideframe.llm.common import FIT_ROWS, fold, keyed_text, labelled_sample, written
 
-#: Weight of the Dirichlet prior in words; z-score for the lexicon; most words in it; score of every other word.
-PRIOR, Z, LEXICON, OTHER = 50_000.0, 4.0, 20_000, -0.25
+#: Weight of the Dirichlet prior as a share of the sample's words; z-score for the lexicon; most words in it; score of every other word.
+PRIOR, Z, LEXICON, OTHER = 0.03, 4.0, 20_000, -0.25
 #: K of the extreme-value formula, and the words of ordinary text that a labelled text stands for at least.
 RATE, TEXT_WORDS = 0.1, 150.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -116,8 +116,9 @@ def log_odds(sample: DataFrame, prior: float = PRIOR) -> DataFrame:
     counts = words.groupBy("word").agg(F.sum(F.col("y")).alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
     total = counts.agg(F.sum("toxic"), F.sum("other")).first()
     n1, n0 = float(total[0] or 0), float(total[1] or 0)
-    alpha = F.lit(prior / max(n1 + n0, 1.0)) * (F.col("toxic") + F.col("other"))  # the prior's words, dealt by frequency
-    odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + prior) - F.col(c) - alpha))
+    alpha = F.lit(prior) * (F.col("toxic") + F.col("other"))  # the prior's words, dealt by frequency
+    whole = prior * (n1 + n0)
+    odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + whole) - F.col(c) - alpha))
     out = counts.withColumn("log_odds", odds("toxic", n1) - odds("other", n0))
     spread = F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
     return out.withColumn("z", F.col("log_odds") / spread)
