@@ -46,7 +46,7 @@ def test_corpus(spark, tmp_path):
 
 
 def test_resolutions(spark, tmp_path):
-    path = tmp_path / "session_resolutions.json"
+    path = tmp_path / "resolutions.json"
     path.write_text(json.dumps({"sessions": {"own/P1/S1": {"width": 640, "height": 480}, "own/P2/S2": {"aspect": 1.0}}, "missing": []}))
     old = sessions.read_resolutions(spark, f"file://{path}")
     df = spark.createDataFrame([("own", "P1/S1"), ("own", "P2/S2"), ("own", "P3/S3")], "source string, session string")
