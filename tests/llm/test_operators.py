@@ -211,6 +211,29 @@ def test_near_copies(spark, empty):
     assert len(ids) == len(set(ids)) and {i for i in ids if i is not None} == {c for c in of.values() if c is not None and of.get(c) == c}
 
 
+def test_links_of_large_groups(spark):
+    """A text and 300 variants that resemble it and mostly not each other, and a group of 60 that partly resemble each other: classes and n_links."""
+    rng = random.Random(21)
+
+    def changed(words, n, tag):
+        at = rng.sample(range(0, len(words), 8), n)
+        return [f"{tag}x{k}" if k in at else w for k, w in enumerate(words)]
+
+    star, group = [f"s{i}" for i in range(400)], [f"g{i}" for i in range(200)]
+    words = [star] + [changed(star, 7, f"a{i}") for i in range(300)] + [changed(group, rng.choice([0, 1, 2, 3]), f"b{i}") + ["more"] * (i % 3) for i in range(60)]
+    words = [list(w) for w in dict.fromkeys(map(tuple, words))]
+    rows = [(5000 - i, " ".join(w), "en", "s") for i, w in enumerate(words)]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    n_links = [sum(len(x & y) >= 0.8 * len(x | y) for y in grams) - 1 for x in grams]
+    assert n_links[0] == 300 and n_links[1:301].count(1) > 280 and len(set(n_links[301:])) > 5
+    got = {r["doc_id"]: r for r in near_copies.classes(frame(spark, rows)).collect()}
+    assert [got[d]["n_links"] for d, *_ in rows] == n_links
+    classes = brute_classes(rows)
+    least = {c: min(d for (d, *_), k in zip(rows, classes, strict=True) if k == c) for c in set(classes)}
+    assert [got[d]["class_id"] for d, *_ in rows] == [least[c] for c in classes]
+    assert [got[d]["class_size"] for d, *_ in rows] == [classes.count(c) for c in classes]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_copies.components(edges).collect()}
