@@ -1,8 +1,10 @@
 """The training-data operators against brute force, round trips and held-out labels, and on edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -377,6 +379,36 @@ def test_guess_costs():
     assert cost("qwertyuiop") < 8 and cost("2024-01-02") < 6 and cost("abcabcabcabc") < 8 and cost("aaaaaaaaaaaaaaaa") < 4
 
 
+def test_long_secrets():
+    rng = random.Random(8)
+    for n in (128, 129, 300, 5000):
+        value = "".join(rng.choice("ABCDEFabcdefGHIJ0123456789") for _ in range(n))
+        for word in ("bearer: ", "auth=", "pwd = '"):
+            assert secret_scan.spans(f"x {word}{value} and more") == [(2 + len(word), "guess", 2 + len(word) + n)]
+    assert secret_scan.spans("pwd: " + "xyz1" * 100) == []
+    started = time.monotonic()
+    secret_scan.guess_cost("".join(rng.choice("abcdef0123") for _ in range(20000)))
+    assert time.monotonic() - started < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab1", max_size=40))
+def test_repeats(text):
+    """Repeated parts against a scan by characters."""
+    want, n, each = [], len(text), secret_scan._character_guesses
+    for size in range(2, n // 2 + 1):
+        i = 0
+        while i + 2 * size <= n:
+            j = i + size
+            while text[j : j + size] == text[i : i + size] and j + size <= n:
+                j += size
+            if j > i + size:
+                want.append((i, j, size * each(text[i : i + size]) + math.log10((j - i) / size)))
+            i = j if j > i + size else i + 1
+    got = [*secret_scan._parts(text)]
+    assert want == got[len(got) - len(want) :]
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(4)
     words = {"a": WORDS_A, "b": WORDS_B}

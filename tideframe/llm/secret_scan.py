@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +22,14 @@ from tideframe.llm.common import keyed_text
 
 #: Values whose cheapest guess costs 10 to this power or more are secrets.
 GUESSES = 10.0
+#: A part that repeats has at most so many characters, so that a value's cost is found in time linear in its length.
+REPEATED = 64
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: The context of a guessed value: a credential word, a separator, perhaps a quote, then no white space.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?[\x20]*(?:[:=]|\x20is\x20|=>)[\x20]*["']?([!-&(-+\--:<-~]{6,128})""", re.I | re.A)
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?[\x20]*(?:[:=]|\x20is\x20|=>)[\x20]*["']?([!-&(-+\--:<-~]{6,})""", re.I | re.A)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # Frequent words in passwords, most frequent first.
@@ -79,17 +82,15 @@ def _parts(text: str) -> Iterable[tuple[int, int, float]]:
             if j - i >= 2:
                 yield i, j + 1, math.log10((47 if name == "walk" else 26) * (j - i + 1)) + (0.35 * (j - i) if name == "walk" else 0)
             i = max(j, i + 1)
-    for size in range(2, n // 2 + 1):
-        i = 0
-        while i + 2 * size <= n:
-            j = i + size
-            while text[j : j + size] == text[i : i + size] and j + size <= n:
-                j += size
-            if j > i + size:
-                yield i, j, size * _character_guesses(text[i : i + size]) + math.log10((j - i) / size)
-                i = j
-            else:
-                i += 1
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for size in range(2, min(n // 2, REPEATED) + 1):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], letters[size:] == letters[:-size], [False]]).astype(np.int8)))
+        done = 0
+        for start, end in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2), axis=1)[:, 0] >= size].tolist():
+            i = max(start, done)
+            if end - i >= size:
+                done = i + size * (1 + (end - i) // size)
+                yield i, done, size * _character_guesses(text[i : i + size]) + math.log10((done - i) / size)
 
 
 def guess_cost(text: str) -> float:
