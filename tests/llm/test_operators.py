@@ -391,6 +391,14 @@ def test_long_secrets():
     assert time.monotonic() - started < 20
 
 
+def test_secrets_of_letters():
+    for text in ("pwd: qzxkVbnmWrtpLkjh", "passphrase=hgqTzvwxKbnqpd", "bearer: XkqzWvjtpMfgbdRx"):
+        assert [k for _, k, _ in secret_scan.spans(text)] == ["guess"], text
+    prose = "required expired important information available administrator authentication documentation misunderstanding Wednesday correct wrong unknown different necessary".split()
+    for word in prose:
+        assert secret_scan.spans(f"the pwd is {word} and the passphrase: {word}.") == [], word
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab1", max_size=40))
 def test_repeats(text):

@@ -4,11 +4,14 @@ A value that follows a credential word (also ones the patterns lack) is split in
 sequence of parts by dynamic programming, as password strength meters do: a part is a known word
 (cost: its rank, and capitals or look-alike digits), a date, a repeat of a shorter part, a walk over
 neighbouring keys, a sequence of characters, or brute force. Values whose cheapest sequence takes 10^GUESSES
-guesses or more, and that aren't plain words, are spans of kind `guess`.
+guesses or more are spans of kind `guess`. For values of letters only, the pieces of a public tokenizer file are
+known words too, so that prose after a credential word stays cheap.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import math
 import re
 from collections.abc import Iterable
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import keyed_text
+from tideframe.llm.tokens import path_of
 
 #: Values whose cheapest guess costs 10 to this power or more are secrets.
 GUESSES = 10.0
@@ -47,7 +51,20 @@ DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _PLACE = {c: (x, y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
-_LONGEST = max(map(len, WORDS))
+
+
+@functools.cache
+def _prose_ranks() -> dict[str, int]:
+    """WORDS, then the pieces of ASCII letters of a tokenizer file in its order, frequent ones first: words and their beginnings and endings."""
+    with open(path_of("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    pieces = (w.removeprefix("\u0120").lower() for w in sorted(vocab, key=vocab.get))
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *(w for w in pieces if len(w) >= 3 and w.isascii() and w.isalpha())]))}
+
+
+@functools.cache
+def _longest(prose: bool) -> int:
+    return max(map(len, _prose_ranks() if prose else WORDS))
 
 
 def _character_guesses(text: str) -> float:
@@ -65,11 +82,13 @@ def _parts(text: str) -> Iterable[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every part other than brute force."""
     n, low = len(text), text.lower()
     plain = low.translate(LEET)
+    prose = text.isascii() and text.isalpha()
+    ranks, longest = _prose_ranks() if prose else _RANK, _longest(prose)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
-                twists = 2 * (low[i:j] != text[i:j]) + 4 * (low[i:j] not in _RANK)
+                twists = 2 * (low[i:j] != text[i:j]) + 4 * (low[i:j] not in ranks)
                 yield i, j, math.log10(rank * max(1, twists) + 1)
     for m in DATE.finditer(text):
         yield m.start(), m.end(), math.log10(365 * 120) if m.end() - m.start() > 4 else math.log10(120)
@@ -116,7 +135,7 @@ def spans(text: str, guesses: float = GUESSES) -> list[tuple[int, str, int]]:
     if any(w in low for w in _CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}\"'")
-            if len(value) >= 6 and re.search("[^A-Za-z]", value) and guess_cost(value) >= guesses:
+            if len(value) >= 6 and guess_cost(value) >= guesses:
                 found.append((m.start(1), 3, m.start(1) + len(value)))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
