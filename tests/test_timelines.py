@@ -201,6 +201,18 @@ def test_validation_choice(spark):
         assert sorted(u for u, s in rows.items() if s == "val") == sorted(best[1])
 
 
+def test_validation_choice_tries_every_pair(spark):
+    rng = random.Random(3)
+    pools = {f"f{k}": {f"{k}u{i:03d}": (n := rng.randint(20, 900), rng.randint(1, n - 1)) for i in range(120)} for k in range(4)}
+    units = spark.createDataFrame([(u, n, p, 0) for stats in pools.values() for u, (n, p) in stats.items()], "unit string, n long, pos long, tie long")
+    table = spark.createDataFrame([(f, 1, u, "train") for f, stats in pools.items() for u in stats], folds.FOLDS)
+    got = folds.with_validation(table, units, 2, 0.15).collect()
+    for fold, stats in pools.items():
+        n_all, p_all = sum(n for n, _ in stats.values()), sum(p for _, p in stats.values())
+        score = lambda c: round(abs(sum(stats[u][1] for u in c) / (n := sum(stats[u][0] for u in c)) - p_all / n_all) + 0.5 * abs(n / n_all - 0.15), 12)  # noqa: B023, E731
+        assert sorted(r["unit"] for r in got if r["fold"] == fold and r["split"] == "val") == list(min((score(c), c) for c in folds.combos(list(stats), 2))[1])
+
+
 def test_holdout_repairs_classes():
     both = {"writing", "not_writing"}
     split, bad = folds.stratified_holdout([("a", 50, both), ("b", 20, {"writing"}), ("c", 18, both), ("d", 10, both), ("e", 5, {"writing"})])
