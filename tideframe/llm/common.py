@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound on labelled rows that any classifier here is fitted on.
 FIT_ROWS = 12_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the tables that written() gave and that are still held.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +43,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a written table: cuts lineage, survives lost executors, and is computed once."""
+    """df as a written table: cuts lineage, survives lost executors, and is computed once.
+
+    The write's own shuffle files go when it ends, as nothing reads them again.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() gave, once what was made of them is written too; others are left alone."""
+    for table in tables:
+        path = _FOLDERS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -70,7 +94,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: C
     share = min(1.0, bound / max(n, 1))
     known = known.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
     return keyed_text(docs).join(known, "doc_id")
-
-
-def with_decision(docs: DataFrame, column: Column, name: str = "__llm_decision") -> DataFrame:
-    return docs.withColumn(name, column)
