@@ -4,8 +4,8 @@ A text is split at single spaces into units at whose ends the tokenizer always s
 of a text are those of its units, one after another. Units repeat far more than texts do; each
 worker remembers the ids of those it has seen (a bounded number) and asks the library for new ones.
 Units of ASCII and Latin-1 letters, digits and signs go straight to the library's BPE model; any
-other unit, and any text whose white space could be split differently, goes through the whole library
-tokenizer. tests/llm compares both ways on arbitrary text.
+other unit, and any text whose white space could be split differently or that writes a special token out, goes through the
+whole library tokenizer. tests/llm compares both ways on arbitrary text.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Units of more characters are not remembered.
+LONG = 100
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: How each kind of tokenizer file splits a unit of the plain characters.
 _SPLIT = {
@@ -39,43 +41,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Units(dict):
-    """unit -> its place in `ids`; a unit that is new is given the next place and noted in `fresh`."""
+class _Kept:
+    """key -> bytes in two generations: what isn't asked for while `most` other keys come is forgotten."""
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
 
-    def __missing__(self, unit: str) -> int:
-        place = self[unit] = len(self)
-        self.fresh.append(unit)
-        return place
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
 
-
-class _Pieces(dict):
-    """piece of a plain unit -> its ids as bytes, from the library's BPE model."""
-
-    def __init__(self, model, dtype: np.dtype, size: int):
-        super().__init__()
-        self.model, self.letters = model, _byte_letters()
-        self.packed = [np.array([i], dtype).tobytes() for i in range(size)]
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece.isascii():
-            letters = piece.replace(" ", self.letters[0x20]).replace("\n", self.letters[0x0A])
-        else:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-        out = self[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
-        return out
+    def new(self, keys: set[str]) -> list[str]:
+        """Those of keys that neither generation has; the others are in `now` afterwards."""
+        keys = keys.difference(self.now)
+        kept = keys.intersection(self.old)
+        self.now.update((k, self.old[k]) for k in kept)
+        return list(keys - kept)
 
 
 class UnitTokenizer:
-    """Ids as bytes (`dtype`, little endian) of each text; without special tokens, whose strings are ordinary text."""
+    """Ids as bytes (`dtype`, little endian) of each text: those that the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str, max_units: int = 300_000, max_chars: int = 8_000_000):
+    def __init__(self, path: str, max_units: int = 200_000, max_pieces: int = 350_000):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
+        #: Texts in which a special token is written out go through the library whole.
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = [p["type"] for p in (norm or {}).get("normalizers", [])]
         self.kind = None
@@ -84,45 +75,56 @@ class UnitTokenizer:
         elif parts == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]:
             self.kind = "word"
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = _Pieces(self.library.model, self.dtype, self.library.get_vocab_size())
+        self.model, self.letters = self.library.model, _byte_letters()
+        self.packed = [np.array([i], self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
+        self.units, self.pieces = _Kept(max_units), _Kept(max_pieces)
         if self.kind:
             self.split, self.plain = _SPLIT[self.kind].findall, _PLAIN[self.kind].fullmatch
-        self.max_units, self.max_chars = max_units, max_chars
-        self._forget()
-
-    def _forget(self) -> None:
-        self.units, self.ids, self.chars = _Units(), [], 0
-        self.pieces.clear()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        if not unit:
-            return b""
-        if not self.plain(unit):
-            return self.whole(unit)
-        if self.kind == "word":
-            unit = unit.lower()
-        return b"".join(map(self.pieces.__getitem__, self.split(unit)))
+    def _piece(self, piece: str) -> bytes:
+        """Of a piece of a plain unit, from the library's BPE model."""
+        if piece.isascii():
+            letters = piece.replace(" ", self.letters[0x20]).replace("\n", self.letters[0x0A])
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
+
+    def _learn(self, units: list[str]) -> None:
+        """Ids of new units into self.units.now: of plain ones by their pieces, of others by the library."""
+        known, pieces, parts = self.units.now, self.pieces, {}
+        for u in units:
+            if self.plain(u):
+                parts[u] = self.split(u.lower() if self.kind == "word" else u)
+            else:
+                known[u] = self.whole(u) if u else b""
+        for p in pieces.new(set().union(*parts.values())):
+            pieces.now[p] = self._piece(p)
+        take = pieces.now.__getitem__
+        for u, p in parts.items():
+            known[u] = b"".join(map(take, p))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind is None:
             return [self.whole(t) for t in texts]
-        if len(self.units) > self.max_units or self.chars > self.max_chars:
-            self._forget()
-        places: list[list[int] | None] = []
+        self.units.turn()
+        self.pieces.turn()
+        split: list[list[str] | None] = []
         for t in texts:
-            if "\0" in t or self.kind == "byte" and _BETWEEN.search(t):
-                places.append(None)
+            if "\0" in t or self.kind == "byte" and _BETWEEN.search(t) or any(x in t or x in t.lower() for x in self.special if x[:2] in t):
+                split.append(None)
             else:
-                split = t.replace(" ", "\0 ").split("\0") if self.kind == "byte" else t.replace("\n", " ").split(" ")
-                places.append(list(map(self.units.__getitem__, split)))
-        fresh, self.units.fresh = self.units.fresh, []
-        self.chars += sum(map(len, fresh))
-        self.ids += map(self._unit, fresh)
-        take = self.ids.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(take, p)) for t, p in zip(texts, places, strict=True)]
+                split.append(t.replace(" ", "\0 ").split("\0") if self.kind == "byte" else t.replace("\n", " ").split(" "))
+        fresh = self.units.new(set().union(*(u for u in split if u)))
+        self._learn(fresh)
+        take = self.units.now.__getitem__
+        out = [self.whole(t) if u is None else b"".join(map(take, u)) for t, u in zip(texts, split, strict=True)]
+        for u in fresh:
+            if len(u) > LONG:
+                del self.units.now[u]
+        return out
 
 
 _LOADED: dict[str, UnitTokenizer] = {}
