@@ -7,8 +7,9 @@
    Lengths are placed longest first; each goes to the shortest open pack that it fits, and packs
    of the same content are one pattern with a count, so the work depends on `size`, not on documents.
 3. Patterns go back to pieces by rank: within a length, pieces are ranked by (doc_id, start) in
-   hashed buckets (no length, however frequent, meets in one task), and slot k of that length
-   belongs to the piece of rank k. The slots are dealt out by Spark, as many as there are pieces.
+   hashed buckets (no length, however frequent, meets in one task). A pattern's place for a length takes as many
+   ranks as the pattern has packs, so the places are a table of some thousand rows, whatever the
+   input; it is sent to tasks, and a piece finds its place by binary search for its rank.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ PIECES = ", ".join(f"{n} {'int' if n == 'cut' else 'long'}" for n in NAMES)
 PADDING = 0.005
 #: Buckets in which the pieces of one length are ranked, a table of at most size * BUCKETS rows.
 BUCKETS = 1024
+#: Most places in all patterns (some 20,000 at 4096, whatever the input); bits of a rank.
+SLOTS, RANKS = 4_000_000, 48
 
 
 def cuts(n: int, cut: int, size: int = SIZE) -> list[int]:
@@ -103,19 +107,24 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int
             best, packs = size // 4, finer
     rows = rows.where(F.col("cut") == best).drop("cut")
 
-    slots, taken, sequence = [], defaultdict(int), 0  # (length, first rank, how many, first sequence, offset)
+    slots, taken, sequence = [], defaultdict(int), 0  # length, first rank, first sequence, offset of a pattern's place
     for count, lengths in packs:
         offset = 0
         for n in lengths:
-            slots.append((n, taken[n], count, sequence, offset))
+            slots.append((n, taken[n], sequence, offset))
             taken[n] += count
             offset += n
         sequence += count
-    slot_rows = (
-        spark.createDataFrame(slots, "length long, rank long, many long, sequence_id long, offset long")
-        .select("length", "rank", "sequence_id", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("i"))
-        .select("length", (F.col("rank") + F.col("i")).alias("rank"), (F.col("sequence_id") + F.col("i")).alias("sequence_id"), "offset")
-    )
+    if len(slots) > SLOTS:
+        raise ValueError(f"{len(slots)} slots in {len(packs)} patterns; at most {SLOTS} are sent to tasks")
+    table = spark.sparkContext.broadcast(np.array(sorted(slots), np.int64).reshape(-1, 4))
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        """By binary search for the last slot of this length that begins at this rank or before it."""
+        t = table.value
+        at = np.searchsorted((t[:, 0] << RANKS) + t[:, 1], (length.to_numpy(np.int64) << RANKS) + rank.to_numpy(np.int64), side="right") - 1
+        return pd.DataFrame({"sequence_id": t[at, 2] + rank.to_numpy(np.int64) - t[at, 1], "offset": t[at, 3]})
 
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)))
     before = (
@@ -124,4 +133,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int
     )
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
     ranked = rows.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    return ranked.join(slot_rows, ["length", "rank"]).select(*NAMES[1:], "sequence_id", "offset")
+    return ranked.withColumn("slot", place("length", "rank")).select(*NAMES[1:], "slot.sequence_id", "slot.offset")
