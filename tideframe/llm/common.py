@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -30,9 +31,11 @@ def keyed_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset in local mode (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tideframe-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -78,6 +81,12 @@ def fold(mod: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % mod
 
 
+def drawn(rows: DataFrame, bound: int, seed: int) -> DataFrame:
+    """About `bound` of rows, or all if they are fewer: the lowest in a hash order of doc_id, by a threshold of one part in 2^40."""
+    n = rows.count()
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) <= (bound << 40) // n)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: Column, bound: int = FIT_ROWS) -> DataFrame:
     """doc_id, text, y of at most about `bound` labelled rows that `trainable` admits, the lowest in a hash order of doc_id.
 
@@ -90,7 +99,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, trainable: C
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1"))
         .where(F.col("y") == F.col("y1")).drop("y1")
     )
-    n = known.count()
-    share = min(1.0, bound / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return keyed_text(docs).join(known, "doc_id")
+    return keyed_text(docs).join(drawn(known, bound, 17), "doc_id")

@@ -22,8 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import FIT_ROWS, written
+from tideframe.llm.common import FIT_ROWS, discard, drawn, written
 
+#: Columns that are added to the documents' own, whatever those are called.
+TOKENS, P, _WORK = "__mixing_tokens", "__mixing_p", "__mixing_work"
 SLOTS, TEMPERATURE, STEPS, CLOSE = 4096, 10.0, 40, 1e-3
 
 
@@ -40,10 +42,7 @@ def classifier(labelled: DataFrame, bound: int = FIT_ROWS, slots: int = SLOTS) -
 
     Rows without a domain label nothing. The rows are those with the lowest hash of their doc_id.
     """
-    known = labelled.where(F.col("domain").isNotNull())
-    n = known.count()
-    share = min(1.0, bound / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64(F.lit(23), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = drawn(labelled.where(F.col("domain").isNotNull()), bound, 23)
     priors = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     counts = known.select("domain", F.explode(_words(F.col("text"))).alias("w")).groupBy("domain", _slot(F.col("w")).alias("slot")).count().collect()
     domains = sorted(priors)
@@ -57,7 +56,7 @@ def classifier(labelled: DataFrame, bound: int = FIT_ROWS, slots: int = SLOTS) -
 
 
 def posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[float]], temperature: float = TEMPERATURE) -> DataFrame:
-    """doc_id, tokens (words of the whole text), p (posteriors in the order of the domains) of every row.
+    """docs with TOKENS (words of the whole text) and P (posteriors in the order of the domains) of every row.
 
     A text without words has 0 tokens and the priors. Only differences between domains matter, so the first
     domain's column is the zero of the others.
@@ -66,11 +65,11 @@ def posteriors(docs: DataFrame, model: tuple[list[str], list[list[float]], list[
     rest = range(1, len(domains))
     # one array of slots for each further domain; SLOTS x domains numbers in the plan, whatever the data
     odds = {k: F.array(*(F.lit(row[k] - row[0]) for row in logs)) for k in rest}
-    rows = docs.select("doc_id", F.transform(_words(F.col("text")), _slot).alias("slots"))
-    add = lambda k: F.aggregate("slots", F.lit(0.0), lambda acc, s: acc + F.get(odds[k], s)) / temperature + F.lit(priors[k] - priors[0])
-    rows = rows.select("doc_id", F.size("slots").cast("long").alias("tokens"), F.array(F.lit(0.0), *(add(k) for k in rest)).alias("m"))
-    rows = rows.withColumn("e", F.transform("m", lambda x: F.exp(F.greatest(x - F.array_max("m"), F.lit(-60.0)))))
-    return rows.select("doc_id", "tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    rows = docs.withColumn(_WORK, F.transform(_words(F.col("text")), _slot)).withColumn(TOKENS, F.size(_WORK).cast("long"))
+    add = lambda k: F.aggregate(_WORK, F.lit(0.0), lambda acc, s: acc + F.get(odds[k], s)) / temperature + F.lit(priors[k] - priors[0])
+    rows = rows.withColumn(_WORK, F.array(F.lit(0.0), *(add(k) for k in rest)))
+    rows = rows.withColumn(_WORK, F.transform(_WORK, lambda x: F.exp(F.greatest(x - F.array_max(_WORK), F.lit(-60.0)))))
+    return rows.withColumn(P, F.transform(_WORK, lambda x: x / F.aggregate(_WORK, F.lit(0.0), lambda a, b: a + b))).drop(_WORK)
 
 
 def _rate(steps: list[list[float]], k: int) -> Column:
@@ -79,18 +78,18 @@ def _rate(steps: list[list[float]], k: int) -> Column:
     if not steps:
         return rate
     history = F.array(*(F.array(*(F.lit(x) for x in s)) for s in steps))
-    move = lambda s: sum((F.get(s, i) * F.get("p", i) for i in range(1, k)), F.get(s, 0) * F.get("p", 0))
+    move = lambda s: sum((F.get(s, i) * F.get(P, i) for i in range(1, k)), F.get(s, 0) * F.get(P, 0))
     return F.aggregate(history, rate, lambda r, s: F.greatest(F.lit(0.0), r + move(s)))
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, close: float = CLOSE) -> list[list[float]]:
-    """Moves by domain for each iteration. targets: wanted expected tokens of each domain; members: tokens, p, written.
+    """Moves by domain for each iteration. targets: wanted expected tokens of each domain; members: TOKENS, P, written.
 
     A domain without a single expected token cannot be reached and is left out of the misses.
     """
     k = len(targets)
-    totals = lambda rate: [F.sum(rate * F.col("tokens") * F.get("p", i)).alias(f"t{i}") for i in range(k)]
-    own = [x or 0.0 for x in members.agg(*totals(F.lit(1.0))).first()]
+    totals = lambda rate: members.select(rate.alias(_WORK), TOKENS, P).agg(*(F.sum(F.col(_WORK) * F.col(TOKENS) * F.get(P, i)).alias(f"t{i}") for i in range(k))).first()
+    own = [x or 0.0 for x in totals(F.lit(1.0))]
     moves: list[list[float]] = []
     got = own
     while len(moves) < steps:
@@ -99,44 +98,58 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, clos
             break
         # a step of 1: the matrix of the misses, own totals divided out, has no eigenvalue over 1
         moves.append(miss)
-        got = [x or 0.0 for x in members.agg(*totals(_rate(moves, k))).first()]
+        got = [x or 0.0 for x in totals(_rate(moves, k))]
     return moves
 
 
+def _fitted(docs: DataFrame, model: tuple, weights: dict[str, float] | None, tokens: float | None) -> tuple[DataFrame, list[list[float]]]:
+    """doc_id, TOKENS, P of every row, written, and the moves."""
+    domains = model[0]
+    weights = {d: w for d, w in (weights or {}).items() if d in domains and w > 0} or dict.fromkeys(domains, 1.0)
+    shares = [weights.get(d, 0.0) / sum(weights.values()) for d in domains]
+    members = written(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text"), "members")
+    own = members.agg(*(F.sum(F.col(TOKENS) * F.get(P, i)).alias(str(i)) for i in range(len(domains)))).first()
+    tokens = tokens or max((o or 0.0) / w for o, w in zip(own, shares, strict=True) if w)
+    return members, fit_rates(members, [tokens * w for w in shares])
+
+
+def _copies(rate: Column) -> Column:
+    hashed = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id").cast("long")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.floor(rate) + (hashed < rate - F.floor(rate)).cast("long")).cast("int")
+
+
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, tokens: float | None = None, bound: int = FIT_ROWS) -> DataFrame:
     """doc_id, domain (likeliest), tokens, p, rate, copies (times to take the document) of every row.
 
     labelled: doc_id, text, domain. weights: share wanted of each domain, brought to a sum of 1 over the domains that
     are labelled (equal without); tokens: expected tokens wanted in all. Without it: as many as the
     scarcest domain allows if nothing is to be thinned out, so that targets are met by repeating. Null text has no tokens and takes a rate all the same. Rows that
-    repeat a doc_id get equal rates and copies. Without labelled rows every rate is 1, domain and p are null.
+    repeat a doc_id get equal copies of equal rates. Without labelled rows every rate is 1, domain and p are null. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    labelled = labelled.select("doc_id", "text", F.col("domain").cast("string").alias("domain"))
-    model = classifier(labelled, bound)
+    model = classifier(labelled.select("doc_id", "text", F.col("domain").cast("string").alias("domain")), bound)
     domains = model[0]
-    hashed = F.pmod(F.xxhash64(F.lit(29), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor(F.col("rate")) + (hashed < F.col("rate") - F.floor(F.col("rate"))).cast("long")).cast("int").alias("copies")
     if not domains:
-        one = docs.select("doc_id", F.lit(None).cast("string").alias("domain"), F.size(_words(F.col("text"))).cast("long").alias("tokens"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
-        return one.select("*", copies)
-    weights = {d: w for d, w in (weights or {}).items() if d in domains and w > 0} or dict.fromkeys(domains, 1.0)
-    shares = [weights.get(d, 0.0) / sum(weights.values()) for d in domains]
-    members = written(posteriors(docs, model), "members")
-    own = members.agg(*(F.sum(F.col("tokens") * F.get("p", i)).alias(str(i)) for i in range(len(domains)))).first()
-    tokens = tokens or max((o or 0.0) / w for o, w in zip(own, shares, strict=True) if w)
-    targets = [tokens * w for w in shares]
-    moves = fit_rates(members, targets)
-    likeliest = F.get(F.array(*(F.lit(d) for d in domains)), (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return members.select("doc_id", likeliest.alias("domain"), "tokens", "p", _rate(moves, len(domains)).alias("rate")).select("*", copies)
+        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("domain"), F.size(_words(F.col("text"))).cast("long").alias("tokens"), F.lit(None).cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
+        return one.select("*", _copies(F.col("rate")).alias("copies"))
+    members, moves = _fitted(docs, model, weights, tokens)
+    likeliest = F.get(F.array(*(F.lit(d) for d in domains)), (F.array_position(P, F.array_max(P)) - 1).cast("int"))
+    rows = members.select("doc_id", likeliest.alias("domain"), F.col(TOKENS).alias("tokens"), F.col(P).alias("p"), _rate(moves, len(domains)).alias("rate"))
+    return rows.select("*", _copies(F.col("rate")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, tokens: float | None = None, bound: int = FIT_ROWS) -> DataFrame:
-    """docs with each document as often as `copies` says, with all their columns. Rows without doc_id are taken once.
+    """docs with each row as often as `copies` of mix() says, with all their columns. Rows without doc_id are taken once.
 
-    doc_ids are joined on distinct decisions, so a table that repeats doc_ids keeps each row as often as its decision says.
+    A row's copies follow from its own text and the fitted moves, so texts are neither shuffled nor joined. A row whose
+    rate is under 1 may be left out. Without labelled rows docs stay as they are; an empty table gives no rows.
     """
-    taken = mix(docs, labelled, weights, tokens, bound).where("doc_id is not null and copies > 0").groupBy("doc_id").agg(F.min("copies").alias("__copies"))
-    out = docs.where("doc_id is not null").join(taken, "doc_id")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
-    return out.unionByName(docs.where("doc_id is null"))
+    model = classifier(labelled.select("doc_id", "text", F.col("domain").cast("string").alias("domain")), bound)
+    if not model[0]:
+        return docs
+    members, moves = _fitted(docs, model, weights, tokens)
+    discard(members)
+    rows = posteriors(docs, model).withColumn(_WORK, _rate(moves, len(model[0])))
+    times = F.when(F.col("doc_id").isNull(), 1).otherwise(_copies(F.col(_WORK)))
+    # an element for each copy; none for a row without copies, which explode leaves out
+    rows = rows.withColumn(_WORK, F.explode(F.array_repeat(F.lit(0), times)))
+    return rows.select(*docs.columns)
