@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.helpers import EDGES, corpus, edited_words, frame, labels, prose
 from tideframe.llm import chunks, histogram, mixing, near_copies, packing, quality_fm, quality_rules, secret_scan, token_files, tokens, toxicity
@@ -31,23 +32,23 @@ def empty(spark):
 
 
 def library_ids(name, text, end):
-    t = tokens.UnitTokenizer(tokens.path_of(name))
-    return [*np.frombuffer(t.whole(text or ""), t.dtype).tolist(), end]
+    return [*LIBRARY[name].encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-TOKENIZERS = {n: tokens.UnitTokenizer(tokens.path_of(n), max_units=50) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+TOKENIZERS = {n: tokens.UnitTokenizer(tokens.path_of(n), max_units=50, max_pieces=20) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+LIBRARY = {n: Tokenizer.from_file(tokens.path_of(n)) for n in TOKENIZERS}
 
 
 @pytest.mark.parametrize("name", sorted(TOKENIZERS))
 @settings(max_examples=150, deadline=None)
-@given(text=st.text(alphabet=st.one_of(st.sampled_from("  \n\t'.,!aAbésßİΣ²½́\x1c\x85　"), st.characters(codec="utf-8")), max_size=40))
-def test_units_are_the_whole(name, text):
-    t = TOKENIZERS[name]
-    assert t.encode([text])[0] == t.whole(text)
+@given(parts=st.lists(st.one_of(st.text(alphabet=st.one_of(st.sampled_from("  \n\t'.,!aAbésßİΣ²½́\x1c\x85　"), st.characters(codec="utf-8")), max_size=20), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"])), max_size=4))
+def test_units_are_the_whole(name, parts):
+    t, text = TOKENIZERS[name], "".join(parts)
+    assert np.frombuffer(t.encode([text])[0], t.dtype).tolist() == LIBRARY[name].encode(text, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs, empty):
@@ -116,13 +117,41 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.round_trip(empty).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 10**7), max_size=600))
-def test_elias_fano(values):
+@settings(max_examples=100, deadline=None)
+@given(st.one_of(st.lists(st.integers(0, 10**7), max_size=900), st.lists(st.integers(0, 2**64 - 1), max_size=40), st.lists(st.integers(0, 3), max_size=900)), st.integers(0, 900), st.integers(0, 900))
+def test_elias_fano(values, a, b):
     values.sort()
-    ef = token_files.EliasFano.from_bytes(memoryview(token_files.EliasFano.of(np.array(values, np.int64)).to_bytes()))
-    assert ef.all().tolist() == values
-    assert [ef.select(i) for i in range(len(values))] == values
+    ef = token_files.EliasFano.from_bytes(memoryview(token_files.EliasFano.of(np.array(values, np.uint64)).to_bytes()))
+    assert ef.select(0, len(values)).tolist() == values
+    first, count = min(a, len(values)), min(b, max(0, len(values) - a))
+    assert ef.select(first, count).tolist() == values[first : first + count]
+
+
+def test_wide_doc_ids(spark, tmp_path):
+    """doc_ids over the whole range of 64 bits, rows without doc_id and rows that share one, in several files."""
+    ids = [-(2**63), -(2**63), -5, 0, 7, 7, 7, 2**62, 2**63 - 1, None, None]
+    rows = [(d, f"text number {k}", "en", "s") for k, d in enumerate(ids)]
+    files = token_files.write(frame(spark, rows), f"file://{tmp_path}/tokens", file_ids=12)
+    got = token_files.read(f"file://{tmp_path}/tokens", files).orderBy("start").collect()
+    key = lambda d: (d is not None, d or 0)
+    assert [r["doc_id"] for r in got] == sorted(ids, key=key) and files.count() > 3
+    of = {}
+    for d, t, *_ in rows:
+        of.setdefault(d, []).append(crc(library_ids(token_files.TOKENIZER, t, 0)))
+    assert all(sorted(r["ids_crc32"] for r in got if r["doc_id"] == d) == sorted(c) for d, c in of.items())
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+
+
+def test_elias_fano_takes_bounded_blocks():
+    """A million sparse doc_ids: bits are spread out block by block."""
+    import tracemalloc
+
+    values = np.arange(1_000_000, dtype=np.uint64) * np.uint64(1 << 43)
+    tracemalloc.start()
+    ef = token_files.EliasFano.of(values)
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
+    assert ef.select(999_990, 10).tolist() == values[-10:].tolist()
 
 
 def test_fingerprints(docs, empty):
@@ -259,9 +288,9 @@ def test_recall_of_changed_words(spark):
         rows += [(k + i, edited_words(rng, base, share), "en", "s") for i in range(70)]
         pairs[share, "group"] = [(k, k + i) for i in range(1, 70)]
     brute = dict(zip((r[0] for r in rows), brute_classes(rows), strict=True))
-    for levels in (near_copies.LEVELS, 0):  # 0: what the first bands leave is compared in blocks
+    for depths in (near_copies.DEPTHS, ()):  # (): what the first bands leave is compared in blocks
         docs = frame(spark, rows)
-        roots = {r["node"]: r["root"] for r in near_copies.groups(docs, written(near_copies.sketches(docs), "sketches"), levels=levels).collect()}
+        roots = {r["node"]: r["root"] for r in near_copies.groups(docs, written(near_copies.sketches(docs), "sketches"), depths=depths).collect()}
         node = {d: near_copies.node_of(near_copies.words_of(t)) for d, t, *_ in rows}
         mine = {d: roots.get(n, n) for d, n in node.items()}
         assert all(len({brute[d] for d in c}) == 1 for c in sets(mine.items()))
@@ -303,7 +332,12 @@ def test_rows_of_one_id(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_copies.components(edges).collect()}
-    assert all(got.get(i, 0) == 0 for i in range(31)) and got[101] == 100
+    assert got == {i: 0 for i in range(1, 31)} | {101: 100}
+    assert near_copies.components(edges.where("a < 0")).count() == 0
+    # several tasks, and few nodes at a time: what is joined only across them
+    assert {r["node"]: r["root"] for r in near_copies.components(edges.repartition(4)).collect()} == got
+    parts = near_copies.forest(edges.coalesce(1), most=5).collect()
+    assert all(r["root"] < r["node"] for r in parts) and len(parts) >= 31
 
 
 def quality_rows(n=300):
