@@ -17,7 +17,11 @@ WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
 def labelled_languages(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """doc_id, text, domain of the documents in the labelled table: their language is taken as known."""
+    """doc_id, text, domain of the documents in the labelled table: their language is taken as known.
+
+    A doc_id that is null or that labels lack labels nothing; one that documents repeat labels each of its rows; a null language
+    labels nothing. No labels give no rows.
+    """
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("domain")).join(known, "doc_id")
 
