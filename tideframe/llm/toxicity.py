@@ -2,36 +2,42 @@
 
 1. Token log-odds: word counts of toxic and other labelled texts, with an informative Dirichlet prior
    that is proportional to the words' total counts (a word seen rarely stays near zero; z-scores say
-   how sure its log-odds are). Words with a z-score of Z or more make the lexicon, bounded in size.
+   how sure its log-odds are). Words with a z-score of Z or more make the lexicon; it is as large as the bounded sample makes it.
 2. Every other word scores a small negative number, so that the expected score of ordinary text is
    negative. A linear-time scan (the stack method for all maximal segments) finds every segment that
    cannot be made better by lengthening or shortening it.
 3. Segments are compared with chance by extreme-value statistics: in n words of ordinary text, the number
-   of segments scoring S or more is about K n exp(-lambda S), lambda being the positive root of
-   E[exp(lambda s)] = 1 over ordinary words. A document's score comes from its best segment, and all
+   of segments scoring S or more is about K n exp(-lambda S). lambda is the positive root of
+   E[exp(lambda s)] = 1 over the words of the sample's texts that aren't toxic, K follows from how many segments
+   those texts have above the median of their scores. A document's score comes from its best segment, and all
    significant ones together, on that scale, by logistic calibration.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.common import FIT_ROWS, fold, keyed_text, labelled_sample, written
 
-#: Weight of the Dirichlet prior as a share of the sample's words; z-score for the lexicon; most words in it; score of every other word.
-PRIOR, Z, LEXICON, OTHER = 0.03, 4.0, 20_000, -0.25
-#: K of the extreme-value formula, and the words of ordinary text that a labelled text stands for at least.
-RATE, TEXT_WORDS = 0.1, 150.0
-WORD = re.compile(r"[^\W\d_]+")
+#: Weight of the Dirichlet prior as a share of the sample's words; z-score for the lexicon; score of every other word.
+PRIOR, Z, OTHER = 0.03, 4.0, -0.25
+#: Runs of letters with their combining marks.
+WORD = regex.compile(r"[\p{L}\p{M}]+")
 #: Segments expected by chance less often than this in their text are significant.
 SIGNIFICANT = 0.05
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, for fitting and for scoring."""
+    return WORD.findall((text or "").lower())
+
+
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """(start, end, score) of all maximal-scoring segments, end exclusive, in linear time.
 
@@ -64,7 +70,7 @@ class Detector:
 
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of words, and (start, end, score, expected number by chance) of each maximal segment, in words."""
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         get, other = self.lexicon.get, OTHER
         scores = np.fromiter((get(w, other) for w in words), float, len(words))
         return len(words), [(a, b, s, self.rate * max(len(words), 1) * float(np.exp(-self.decay * s))) for a, b, s in segments(scores)]
@@ -106,14 +112,18 @@ def held_out() -> Column:
     return fold(5) == 0
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
+def log_odds(sample: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """word, toxic, other (documents with the word), ordinary (its occurrences in other texts), log_odds, z.
+
+    A text's repeats of a word count once for the odds: it is texts that are labelled.
+    """
 
+    @F.pandas_udf("map<string,long>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: dict(Counter(words_of(t))))
 
-def log_odds(sample: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """word, toxic, other (documents with the word), log_odds, z. A text's repeats of a word count once: it is texts that are labelled."""
-    words = sample.select("y", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum(F.col("y")).alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
+    words = sample.select("y", F.explode(counted("text")).alias("word", "n"))
+    counts = words.groupBy("word").agg(F.sum(F.col("y")).alias("toxic"), F.sum(1 - F.col("y")).alias("other"), F.sum((1 - F.col("y")) * F.col("n")).alias("ordinary"))
     total = counts.agg(F.sum("toxic"), F.sum("other")).first()
     n1, n0 = float(total[0] or 0), float(total[1] or 0)
     alpha = F.lit(prior) * (F.col("toxic") + F.col("other"))  # the prior's words, dealt by frequency
@@ -124,29 +134,42 @@ def log_odds(sample: DataFrame, prior: float = PRIOR) -> DataFrame:
     return out.withColumn("z", F.col("log_odds") / spread)
 
 
+def segment_rate(scores: np.ndarray, decay: float, words: int) -> float:
+    """K: segments at or above the median of their scores in ordinary text, a word, over what exp(-lambda S) says; one segment without any."""
+    if not len(scores):
+        return 1.0 / max(words, 1)
+    middle = float(np.median(scores))
+    return float((scores >= middle).sum() / max(words, 1) * np.exp(decay * middle))
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector | None:
     """A detector from at most about `bound` labelled rows outside the held-out fold; None where both labels do not occur.
 
-    To the driver come at most LEXICON words and, for each row of the sample, four numbers.
+    To the driver come the sample's lexicon, its ordinary texts' segment scores and, for each of its rows, four numbers.
     """
     # copies of a text are one text here, or the words of one much copied toxic text would pass for toxic
     sample = written(labelled_sample(docs, labels, "toxic", ~held_out(), bound).groupBy("text").agg(F.max("y").alias("y")), "toxic-sample")
-    n = sample.groupBy("y").count().collect()
-    if len(n) < 2:
+    if sample.select("y").distinct().count() < 2:
         return None
-    words = log_odds(sample)
-    top = words.where((F.col("z") >= Z) & (F.col("toxic") >= 3)).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
+    words = written(log_odds(sample), "toxic-words")
+    top = words.where((F.col("z") >= Z) & (F.col("toxic") >= 3)).select("word", "log_odds", "ordinary").orderBy("word").collect()
     lexicon = {r["word"]: float(r["log_odds"]) for r in top}
-    clean = sum(r["count"] for r in n if r["y"] == 0)
-    # ordinary text: the lexicon's words as often as in other texts, all else OTHER
-    seen = np.array([r["other"] + 0.5 for r in top], float)
-    ordinary = TEXT_WORDS * clean  # words of the other texts, at least; more would only raise lambda
-    shares = np.concatenate([seen / ordinary, [max(1 - seen.sum() / ordinary, 0.5)]])
-    values = np.concatenate([[r["log_odds"] for r in top], [OTHER]])
-    decay = root(values, shares) if len(top) else 1.0
-    draft = Detector(lexicon, decay, RATE, np.zeros(4))
+    total = int(words.agg(F.sum("ordinary")).first()[0] or 0)
+    # ordinary text: the lexicon's words as often as in the other texts, all else OTHER
+    shares = np.array([r["ordinary"] for r in top], float) / max(total, 1)
+    shares = np.append(shares, max(1 - shares.sum(), 0.0))
+    values = np.append(np.array([r["log_odds"] for r in top], float), OTHER)
+    decay = root(values, shares) if shares[:-1].sum() else 1.0
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(draft)
+    bare = spark.sparkContext.broadcast(Detector(lexicon, decay, 1.0, np.zeros(4)))
+
+    @F.pandas_udf("array<double>")
+    def _scores(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [s for *_, s, _ in bare.value.passages(t)[1]])
+
+    ordinary = sample.where("y = 0").select(F.explode(_scores("text")).alias("s")).collect()
+    rate = segment_rate(np.array([r["s"] for r in ordinary]), decay, total)
+    model = spark.sparkContext.broadcast(Detector(lexicon, decay, rate, np.zeros(4)))
 
     @F.pandas_udf("array<double>")
     def _summary(texts: pd.Series) -> pd.Series:
@@ -154,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector |
 
     got = sample.select("y", _summary("text").alias("x")).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
-    return Detector(lexicon, decay, RATE, logistic(x[:, 1:], y))
+    return Detector(lexicon, decay, rate, logistic(x[:, 1:], y))
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> DataFrame:
