@@ -4,8 +4,8 @@ A value that follows a credential word (also ones the patterns lack) is split in
 sequence of parts by dynamic programming, as password strength meters do: a part is a known word
 (cost: its rank, and capitals or look-alike digits), a date, a repeat of a shorter part, a walk over
 neighbouring keys, a sequence of characters, or brute force. Values whose cheapest sequence takes 10^GUESSES
-guesses or more are spans of kind `guess`. For values of letters only, the pieces of a public tokenizer file are
-known words too, so that prose after a credential word stays cheap.
+guesses or more are spans of kind `guess`. Known words are a few frequent passwords and, ranked behind them, the pieces of
+a public tokenizer file in its order, which is that of their frequency in a large corpus.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: The context of a guessed value: a credential word, a separator, perhaps a quote, then no white space.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)["']?[\x20]*(?:[:=]|\x20is\x20|=>)[\x20]*["']?([!-&(-+\--:<-~]{6,})""", re.I | re.A)
+#: The context of a guessed value: a credential word, a separator (`Bearer` of a header needs none), perhaps a quote, then no white space.
+CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)(?:["']?[\x20]*(?:[:=]|\x20is\x20|=>)[\x20]*["']?|(?<=bearer)\x20+)([!-&(-+\--:<-~]{6,})""", re.I | re.A)
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # Frequent words in passwords, most frequent first.
@@ -49,12 +49,11 @@ KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@310$57!", "aaeiosst" + "i")
 DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d")
 
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _PLACE = {c: (x, y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 
 
 @functools.cache
-def _prose_ranks() -> dict[str, int]:
+def _ranks() -> dict[str, int]:
     """WORDS, then the pieces of ASCII letters of a tokenizer file in its order, frequent ones first: words and their beginnings and endings."""
     with open(path_of("byte_bpe_50k.json"), encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -63,8 +62,8 @@ def _prose_ranks() -> dict[str, int]:
 
 
 @functools.cache
-def _longest(prose: bool) -> int:
-    return max(map(len, _prose_ranks() if prose else WORDS))
+def _longest() -> int:
+    return max(map(len, _ranks()))
 
 
 def _character_guesses(text: str) -> float:
@@ -82,8 +81,7 @@ def _parts(text: str) -> Iterable[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every part other than brute force."""
     n, low = len(text), text.lower()
     plain = low.translate(LEET)
-    prose = text.isascii() and text.isalpha()
-    ranks, longest = _prose_ranks() if prose else _RANK, _longest(prose)
+    ranks, longest = _ranks(), _longest()
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
