@@ -178,6 +178,23 @@ def test_fingerprints(docs, empty):
     assert chunks.compare_with_edits(empty).count() == 0
 
 
+def test_ranges_of_equal_ids(spark):
+    """Many rows without doc_id, many that share one: each row once as its own, in order, each range with the next one's first row."""
+    rows = [(d, f"text {i} of {d}", "en", "s") for d in (None, 7, -3, 2**40) for i in range(60 if d in (None, 7) else 1)]
+    got = chunks.with_next(frame(spark, rows), parts=9).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r["part"], []).append((r["guest"], r["doc_id"], r["text"]))
+    assert len(parts) > 4 and max(map(len, parts.values())) < 80
+    own = [x[1:] for p in sorted(parts) for x in parts[p] if not x[0]]
+    assert sorted(own, key=str) == sorted(((d, t) for d, t, *_ in rows), key=str)
+    assert [d for d, _ in own] == [2**40] + [7] * 60 + [-3] + [None] * 60
+    order = sorted(parts)
+    for k, p in enumerate(order):
+        assert [x[1:] for x in parts[p] if x[0]] == [next(x[1:] for x in parts[order[(k + 1) % len(order)]] if not x[0])]
+    assert chunks.compare_with_edits(frame(spark, rows)).count() == len(rows)
+
+
 def test_chunks_survive_shifts():
     text = prose(random.Random(5), 3000).encode()
     a, b = chunks.fingerprints([text, b"something in front " + text])

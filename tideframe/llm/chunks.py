@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,8 @@ from tideframe.llm.common import keyed_text, partitions
 LEAST, NORMAL, MOST = 16, 48, 160
 STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xE0000000)
 _REACH = 32
-#: Ranges of doc_id for each shuffle partition: several, so that hashing them evens out.
-RANGES = 4
+#: Ranges of doc_id for each shuffle partition (several, so that hashing them evens out); sampled ids for each range's bounds.
+RANGES, BOUNDS = 4, 32
 
 
 def _gear_table() -> np.ndarray:
@@ -120,39 +121,56 @@ def edited(text: str, following: str) -> str:
 RESULT = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+_KEY = np.dtype([("none", "i1"), ("order", "<i8"), ("hash", "<i8")])
+
+
+def _keys(none, order, hashes) -> np.ndarray:
+    out = np.empty(len(none), _KEY)
+    out["none"], out["order"], out["hash"] = none, order, hashes
+    return out
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """doc_id, text dealt by ranges of doc_id and sorted within them, each range followed by the first row of the next.
+    """part, guest, doc_id, text: rows dealt by ranges of descending doc_id (rows of one doc_id, or without any, by a hash of their
+    text) and sorted within them, each range followed by the first row of the next (guest); after the last range comes the first row of all.
 
-    Columns: part (range, in descending order of doc_id), guest (the row belongs to the next range).
-    Bounds come from a sketch of doc_id alone; the first rows of the ranges are rows of the table found by their
-    doc_id, so texts move once. After the last range comes the first row of all. A null doc_id comes last.
+    The ranges' bounds are taken from a sample of BOUNDS ids a range, which deals rows out and nothing else; a row finds its range by
+    binary search. The first row of each range is found by an aggregate, a row a range, so texts move once.
     """
     spark: SparkSession = docs.sparkSession
-    rows = keyed_text(docs)
     parts = parts or RANGES * partitions(spark)
-    ids = rows.select("doc_id")
-    bounds = sorted({float(b) for b in ids.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    # range 0 holds the largest doc_ids
-    range_of = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b >= F.col("doc_id"))) if bounds else F.lit(0))
-    placed = rows.withColumn("part", range_of.cast("int"))
-    heads = {r["part"]: r["head"] for r in ids.withColumn("part", range_of.cast("int")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one row a range
+    rows = keyed_text(docs).withColumns({"hash": F.xxhash64("text"), "none": F.col("doc_id").isNull().cast("int"), "order": F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long")))})
+    ids = rows.select("none", "order", "hash")
+    n = ids.count()
+    some = ids.where(F.pmod(F.xxhash64(F.lit(41), "order", "hash"), F.lit(1 << 40)) <= min(1 << 40, (BOUNDS * parts << 40) // max(n, 1))).collect()
+    keys = np.sort(_keys(*zip(*some, strict=True))) if some else np.zeros(0, _KEY)
+    bounds = spark.sparkContext.broadcast(np.unique(keys[np.arange(1, parts) * len(keys) // parts]) if len(keys) else keys)
+
+    @F.pandas_udf("int")
+    def range_of(none: pd.Series, order: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds.value, _keys(none, order, hashes), side="right").astype(np.int32))
+
+    first = ids.groupBy(range_of("none", "order", "hash").alias("part")).agg(F.min(F.struct("none", "order", "hash")).alias("x")).collect()
+    heads = {r["part"]: tuple(r["x"]) for r in first}
     order = sorted(heads)
-    # the head of a range also goes to the range before it; the first of all to the last
-    hosts: list[int | None] = [None] * (len(bounds) + 1)
-    for k, p in enumerate(order):
-        hosts[p] = order[k - 1]
-    of_part = lambda values, kind: F.get(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("part"))
-    head = of_part([heads.get(p) for p in range(len(hosts))], "long")
-    host = F.when(F.col("doc_id").eqNullSafe(head), of_part(hosts, "int"))
-    copies = F.filter(F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(host.cast("int").alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())
-    dealt = placed.withColumn("copy", F.explode(copies)).select("copy.part", "copy.guest", "doc_id", "text")
-    return dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    # the first row of a range also goes to the range before it, the first of all to the last
+    table = spark.sparkContext.broadcast({heads[p]: order[k - 1] for k, p in enumerate(order)})
+
+    @F.pandas_udf("part int, host int")
+    def placed(none: pd.Series, order: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        keys = _keys(none, order, hashes)
+        hosts = [table.value.get(k) for k in keys.tolist()]
+        return pd.DataFrame({"part": np.searchsorted(bounds.value, keys, side="right").astype(np.int32), "host": pd.array(hosts, "Int32")})
+
+    copies = F.filter(F.array(F.struct(F.col("at.part").alias("part"), F.lit(False).alias("guest")), F.struct(F.col("at.host").alias("part"), F.lit(True).alias("guest"))), lambda x: x["part"].isNotNull())
+    dealt = rows.withColumn("at", placed("none", "order", "hash")).withColumn("copy", F.explode(copies)).select("copy.part", "copy.guest", "doc_id", "text", "none", "order", "hash")
+    return dealt.repartition(partitions(spark), "part").sortWithinPartitions("part", "guest", "none", "order", "hash", "text").select("part", "guest", "doc_id", "text")
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Null text counts as empty. Rows of one doc_id follow one another in the order of their text. A single row is
+    Null text counts as empty. Rows of one doc_id follow one another in the order of a hash of their text. A single row is
     its own next. An empty table gives no rows.
     """
 
