@@ -26,6 +26,12 @@ _SPLIT = {
     "byte": re.compile(rf"{_ENDINGS}| ?[{LETTER}]+| ?[0-9]+| ?[^ \n{LETTER}0-9]+|\n"),
     "word": re.compile(rf"{_ENDINGS}|[{LETTER}]+|[0-9]|[^ {LETTER}0-9]+"),
 }
+#: A word and perhaps a sign after it, of which most units are.
+_ENDS = ".,!?;:"
+_WORD = {
+    "byte": re.compile(rf"( ?[{LETTER}]+)([{_ENDS}]?)"),
+    "word": re.compile(rf"([{LETTER}]+)([{_ENDS}]?)"),
+}
 _PLAIN = {
     "byte": re.compile(rf" ?[!-~{LETTER[6:]}]+(?:\n[!-~{LETTER[6:]}]+)*"),
     "word": re.compile(rf"[!-~{LETTER[6:]}]+"),
@@ -41,28 +47,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Kept:
-    """key -> bytes in two generations: what isn't asked for while `most` other keys come is forgotten."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
-
-    def turn(self) -> None:
-        if len(self.now) > self.most:
-            self.now, self.old = {}, self.now
-
-    def new(self, keys: set[str]) -> list[str]:
-        """Those of keys that neither generation has; the others are in `now` afterwards."""
-        keys = keys.difference(self.now)
-        kept = keys.intersection(self.old)
-        self.now.update((k, self.old[k]) for k in kept)
-        return list(keys - kept)
-
-
 class UnitTokenizer:
     """Ids as bytes (`dtype`, little endian) of each text: those that the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str, max_units: int = 200_000, max_pieces: int = 350_000):
+    def __init__(self, path: str, max_units: int = 400_000):
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         #: Texts in which a special token is written out go through the library whole.
@@ -77,9 +65,11 @@ class UnitTokenizer:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.letters = self.library.model, _byte_letters()
         self.packed = [np.array([i], self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
-        self.units, self.pieces = _Kept(max_units), _Kept(max_pieces)
+        #: unit -> ids in two generations: what isn't asked for while max_units others come is forgotten.
+        self.max_units, self.known, self.old = max_units, {}, {}
         if self.kind:
-            self.split, self.plain = _SPLIT[self.kind].findall, _PLAIN[self.kind].fullmatch
+            self.split, self.plain, self.word = _SPLIT[self.kind].findall, _PLAIN[self.kind].fullmatch, _WORD[self.kind].fullmatch
+            self.ends = {c: self._piece(c) for c in _ENDS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -92,38 +82,60 @@ class UnitTokenizer:
             letters = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.packed[t.id] for t in self.model.tokenize(letters)])
 
+    def _unit(self, unit: str) -> bytes:
+        """Of a plain unit by its pieces, of another by the library."""
+        if not unit:
+            return b""
+        if not self.plain(unit):
+            return self.whole(unit)
+        return b"".join(map(self._piece, self.split(unit.lower() if self.kind == "word" else unit)))
+
     def _learn(self, units: list[str]) -> None:
-        """Ids of new units into self.units.now: of plain ones by their pieces, of others by the library."""
-        known, pieces, parts = self.units.now, self.pieces, {}
+        """Ids of units that aren't known into self.known; a word with a sign after it by its word, which is a unit too."""
+        known, old, lower = self.known, self.old, self.kind == "word"
         for u in units:
-            if self.plain(u):
-                parts[u] = self.split(u.lower() if self.kind == "word" else u)
-            else:
-                known[u] = self.whole(u) if u else b""
-        for p in pieces.new(set().union(*parts.values())):
-            pieces.now[p] = self._piece(p)
-        take = pieces.now.__getitem__
-        for u, p in parts.items():
-            known[u] = b"".join(map(take, p))
+            if u in known:
+                continue
+            ids = old.get(u)
+            if ids is None:
+                m = self.word(u)
+                if m is None:
+                    ids = self._unit(u)
+                else:
+                    word, end = m.groups()
+                    if lower:
+                        word = word.lower()
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = old.get(word)
+                        if ids is None:
+                            ids = self._piece(word)
+                        known[word] = ids
+                    if end:
+                        ids += self.ends[end]
+            known[u] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind is None:
             return [self.whole(t) for t in texts]
-        self.units.turn()
-        self.pieces.turn()
-        split: list[list[str] | None] = []
+        out = []
         for t in texts:
             if "\0" in t or self.kind == "byte" and _BETWEEN.search(t) or any(x in t or x in t.lower() for x in self.special if x[:2] in t):
-                split.append(None)
-            else:
-                split.append(t.replace(" ", "\0 ").split("\0") if self.kind == "byte" else t.replace("\n", " ").split(" "))
-        fresh = self.units.new(set().union(*(u for u in split if u)))
-        self._learn(fresh)
-        take = self.units.now.__getitem__
-        out = [self.whole(t) if u is None else b"".join(map(take, u)) for t, u in zip(texts, split, strict=True)]
-        for u in fresh:
-            if len(u) > LONG:
-                del self.units.now[u]
+                out.append(self.whole(t))
+                continue
+            if len(self.known) > self.max_units:
+                self.known, self.old = {}, self.known
+            units = t.replace(" ", "\0 ").split("\0") if self.kind == "byte" else t.replace("\n", " ").split(" ")
+            ids = list(map(self.known.get, units))
+            if None in ids:
+                new = [i for i, x in enumerate(ids) if x is None]
+                self._learn([units[i] for i in new])
+                for i in new:
+                    ids[i] = self.known[units[i]]
+                for i in new:
+                    if len(units[i]) > LONG:
+                        self.known.pop(units[i], None)
+            out.append(b"".join(ids))
         return out
 
 
