@@ -393,6 +393,37 @@ def test_classifiers(spark, module, column, mod, rest):
     assert none.count() == 3
 
 
+def test_pairs_are_learned():
+    """A label that only pairs of words tell (both or neither) is learned by the machine."""
+    rng, rows, y = random.Random(0), [], []
+    for _ in range(600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(" ".join(["alpha"] * a + ["beta"] * b + ["x"] * (2 - a - b) + ["y"]))
+        y.append(float(a == b))
+    got = [quality_fm.inputs(t) for t in rows]
+    got = [(s, v, [0.0] * len(c)) for s, v, c in got]  # words alone
+    fm = quality_fm.fit_machine(got, np.array(y), epochs=300)
+    margin = fm.margin(*fm.rows(got), len(got))[0]
+    assert ((margin > 0) == (np.array(y) == 1)).mean() > 0.95
+    fm.v[:] = 0
+    assert ((fm.margin(*fm.rows(got), len(got))[0] > 0) == (np.array(y) == 1)).mean() < 0.8
+
+
+def test_bound_on_inputs(spark, monkeypatch):
+    rows, marks = quality_rows(120)
+    monkeypatch.setattr(quality_fm, "INPUTS", 1500)
+    seen = []
+    monkeypatch.setattr(quality_fm, "fit_machine", lambda got, y: seen.append(sum(len(s) for s, *_ in got)))
+    quality_fm.fit(frame(spark, rows), labels(spark, marks))
+    assert 300 < seen[0] < 3000
+
+
+@pytest.mark.parametrize("module", [quality_fm, toxicity])
+def test_classifiers_on_an_empty_table(spark, empty, module):
+    rows, marks = quality_rows(60)
+    assert module.classify(empty, labels(spark, marks)).count() == 0
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     fm = quality_fm.FactorisationMachine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)), np.zeros(1), np.ones(1))

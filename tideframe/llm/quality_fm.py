@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import fold, keyed_text, labelled_sample
+from tideframe.llm.common import discard, drawn, fold, keyed_text, labelled_sample, written
 
 BITS, RANK, EPOCHS = 14, 4, 60
-#: Upper bound on the labelled rows of a fit (their inputs meet in the driver).
-ROWS = 6_000
+#: Upper bounds on the labelled rows of a fit, and on their words' inputs in all (12 bytes each), which meet in the driver.
+ROWS, INPUTS = 6_000, 6_000_000
 STRUCTURE = ["bias_words", "mean_word", "distinct", "top_word", "upper", "digit", "sign", "symbol", "dup_lines", "repeat_next", "line_words", "beyond_ascii"]
 _UPPER, _DIGIT, _SIGN, _BEYOND = re.compile("[A-ZÀ-ÖØ-Þ]+"), re.compile("[0-9]+"), re.compile(r"[!-/:-@\[-`{-~]+"), re.compile("[^\x00-\x7f]+")
 
@@ -110,13 +110,21 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = ROWS) -> FactorisationMachine | None:
-    """A machine from at most about `bound` labelled rows outside the held-out fold; None where both labels do not occur."""
+    """A machine from at most about `bound` labelled rows outside the held-out fold; None where both labels do not occur.
+
+    Where these rows have more than INPUTS inputs of words, as very long texts may, as many rows as have about so many are taken.
+    """
 
     @F.pandas_udf("slots array<int>, shares array<float>, structure array<double>")
     def _inputs(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([inputs(t) for t in texts], columns=["slots", "shares", "structure"])
 
-    rows = labelled_sample(docs, labels, "quality", ~held_out(), bound).select("y", _inputs("text").alias("x")).toArrow()
+    sample = written(labelled_sample(docs, labels, "quality", ~held_out(), bound).select("doc_id", "y", _inputs("text").alias("x")), "machine-inputs")
+    n, inputs_ = sample.agg(F.count(F.lit(1)), F.sum(F.size("x.slots"))).first()
+    if (inputs_ or 0) > INPUTS:
+        sample = drawn(sample, int(n * INPUTS / inputs_), 19)
+    rows = sample.select("y", "x").toArrow()
+    discard(sample)
     y = rows.column("y").to_numpy().astype(float)
     if len(np.unique(y)) < 2:
         return None
