@@ -97,3 +97,45 @@ def test_summaries_on_disk(spark, tmp_path):
     assert (wide["run"], wide["window"], wide["f1_writing_mean"], wide["accuracy_mean"]) == ("run_a", "w15/s5", 0.5, None)
     results.write_csv(results.wide(rows), f"file://{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/csv").count() == 1
+
+
+def test_headers_in_any_order(spark, tmp_path):
+    export(tmp_path, "P001", "S001", 20, 30)
+    f = tmp_path / "P001/S001/landmarks.csv"
+    cells = [line.split(",") for line in f.read_text().splitlines()]
+    (tmp_path / "P002/S001").mkdir(parents=True)
+    (tmp_path / "P002/S001/landmarks.csv").write_text("\r\n".join(",".join(c[::-1]) for c in cells))
+    rows = sessions.read_landmarks(spark, f"file://{tmp_path}")
+    a, b = ({r["frame_index"]: (r["timestamp_ms"], r["hand_detected"], r["l20_z"], r["handedness"]) for r in rows.where(f"participant = '{p}'").collect()} for p in ("P001", "P002"))
+    assert a == b and len(a) == 20
+    (tmp_path / "P003/S001").mkdir(parents=True)
+    (tmp_path / "P003/S001/landmarks.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="P003"):
+        sessions.read_landmarks(spark, f"file://{tmp_path}")
+
+
+def test_world_pose_golden(spark):
+    """By hand: the wrist at the origin, the furthest point at distance 1, left hands negated in x; pictures' points stay as they are."""
+    point = lambda i: (100 + 3.0 * i, 50 + 4.0 * i, 0.0)
+    row = {"session": "a", "frame_index": 0, "hand_detected": 1, "handedness": "Left", "dt": 0.04}
+    row |= {f"{p}l{i}_{x}": v for p in ("", "w") for i in range(21) for x, v in zip("xyz", point(i), strict=True)}
+    none = {**row, "frame_index": 1, "hand_detected": 0} | {c: None for c in sessions.WORLD}
+    df = spark.createDataFrame([row, none], ", ".join(f"{k} {'string' if isinstance(v, str) else 'long' if isinstance(v, int) else 'double'}" for k, v in row.items()))
+    out, names = features.prepare(df, pose="world", with_motion=False, with_velocity=True)
+    a, b = out.orderBy("frame_index").collect()
+    assert (a["wl0_x"], a["wl20_x"], a["wl20_y"]) == (0.0, pytest.approx(-0.6), pytest.approx(0.8)) and a["wl10_x"] == pytest.approx(-0.3)
+    assert (a["l0_x"], a["l20_x"]) == (100.0, 160.0) and b["wl20_x"] == 0.0
+    assert names[:4] == ["hand_detected", "wl0_x", "wl0_y", "wl0_z"] and names[-1] == "d_l20_z"
+    with pytest.raises(ValueError, match="missing on rows with a hand"):
+        features.prepare(df.withColumn("hand_detected", __import__("pyspark").sql.functions.lit(1)), pose="world")
+
+
+def test_contract_and_importances(spark, tmp_path):
+    df = spark.createDataFrame([(float(i % 10), float(i % 3), int(i % 10 > 5)) for i in range(100)], "a double, b double, y int")
+    model = models.forest(df, ["a", "b"], trees=5, depth=3)
+    top = models.importances(model, ["a", "b"], df, 1).collect()
+    assert [r["feature"] for r in top] == ["a"]
+    points = spark.createDataFrame([("own", 0.4)], "dataset string, threshold double")
+    results.write_contract(spark, ["a", "b"], points, {"band": 0.2}, {"writing": 1}, f"file://{tmp_path}/contract")
+    r = spark.read.json(f"file://{tmp_path}/contract").first()
+    assert (r["features"], r["threshold"], r["fps"], r["smoothing"]["band"], r["labels"]["writing"]) == (["a", "b"], 0.4, 30.0, 0.2, 1)

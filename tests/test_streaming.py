@@ -1,14 +1,13 @@
 """Streams give what the batch operators give on the same rows, across micro-batches."""
 
 import random
-
+from datetime import datetime, timedelta
 
 from tideframe.operators import smoothing, timing
 from tideframe.streaming import live
 
 
-def run(spark, tmp_path, rows, make):
-    schema = "session string, frame_index long, timestamp_ms double, value double"
+def run(spark, tmp_path, rows, make, schema="session string, frame_index long, timestamp_ms double, value double"):
     src, name = tmp_path / "in", f"q{random.getrandbits(40)}"
     for k in range(0, len(rows), 40):
         spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(f"file://{src}")
@@ -65,3 +64,42 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert sorted(r["frame_index"] for r in got) == list(range(41))
 
 
+TIMED = "session string, frame_index long, timestamp_ms double, value double, at timestamp"
+
+
+def timed(rows):
+    return [(*r, datetime(2024, 1, 1) + timedelta(milliseconds=r[2])) for r in rows]
+
+
+def test_live_sessions_stay_open(spark, tmp_path):
+    """Two sessions over four batches, seconds apart: none is closed and begins again."""
+    rows = timed([(s, i, i * 40.0, i % 7 / 7) for i in range(80) for s in "ab"])
+    got, df = run(spark, tmp_path, rows, lambda s: live.sample_and_hold(s, 30.0, event_time="at", idle="10 minutes"), TIMED)
+    ticks = [(r["session"], r["frame_index"]) for r in got]
+    want = {(r["session"], r["frame_index"]): r["source_frame_index"] for r in timing.resample(df.drop("at"), 30.0).collect()}
+    assert len(ticks) == len(set(ticks)) and len(want) - len(ticks) <= 2 * 3
+    assert all(want[r["session"], r["frame_index"]] == r["source_frame_index"] for r in got)
+
+
+def test_idle_sessions_are_closed(spark, tmp_path):
+    """a ends; once b is ten minutes further a is closed and gives out what it held back, and b goes on."""
+    rows = timed([("a", i, i * 40.0, 1.0) for i in range(40)] + [("b", i, i * 15_000.0, 1.0) for i in range(160)])
+    got, df = run(spark, tmp_path, rows, lambda s: live.decide(s, 0.4, 0.6, on=60, off=3, score="value", event_time="at", idle="10 minutes"), TIMED)
+    by = {s: sorted((r["frame_index"], r["pred"]) for r in got if r["session"] == s) for s in "ab"}
+    assert by["a"] == [(i, 1) for i in range(40)]
+    assert [f for f, _ in by["b"]] == list(range(len(by["b"]))) and len(by["b"]) >= 60
+
+
+def test_median_of_steps_is_exact():
+    rng, op, steps = random.Random(5), live.Speeds(), []
+    t = 0.0
+    for i in range(3000):
+        d = rng.choice([33.0, 34.0, 40.0, 7.5, 900.0])
+        t += d
+        steps.append(d if i else None)
+        (_, dt, *_), = op.row(i, t, 0.0)
+        good = sorted(x for x in steps if x and 5 <= x <= 200)
+        m = len(good)
+        if steps[-1] == 900.0 and m:
+            assert dt == (good[m // 2] + good[(m - 1) // 2]) / 2000
+    assert len(op.s["steps"]) == 4

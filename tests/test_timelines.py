@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import naive
-from tideframe.operators import compare, events, folds, metrics, runs, smoothing, summary, timing, windows
+from tideframe.operators import compare, events, experiment, folds, metrics, runs, smoothing, summary, timing, windows
 
 
 def frames(spark, sessions, more=("y_true", "y_pred")):
@@ -213,11 +213,72 @@ def test_validation_choice_tries_every_pair(spark):
         assert sorted(r["unit"] for r in got if r["fold"] == fold and r["split"] == "val") == list(min((score(c), c) for c in folds.combos(list(stats), 2))[1])
 
 
-def test_holdout_repairs_classes():
-    both = {"writing", "not_writing"}
-    split, bad = folds.stratified_holdout([("a", 50, both), ("b", 20, {"writing"}), ("c", 18, both), ("d", 10, both), ("e", 5, {"writing"})])
-    assert set(split.values()) == {"train", "val", "test"} and bad == []
-    assert folds.stratified_holdout([("a", 5, both), ("b", 4, both)])[0]["a"] == "train"
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_holdout(spark, seed):
+    """Every split sees every class where three units have all of them, and shares are near 70/15/15."""
+    rng, rows = random.Random(seed), []
+    for u in range(rng.choice([12, 40])):
+        kinds = rng.choice([["writing"], ["not_writing"], ["writing", "not_writing"]]) if u > 2 else ["writing", "not_writing", "unsure"]
+        rows += [(f"s{u}", kinds[i % len(kinds)]) for i in range(rng.randint(20, 60))]
+    got = folds.holdout(spark.createDataFrame(rows, "session string, label string"))
+    split = {r["unit"]: r["split"] for r in got.collect()}
+    assert got.columns == ["fold", "fold_no", "unit", "split"] and set(split) == {s for s, _ in rows}
+    for name, share in (("train", 0.7), ("val", 0.15), ("test", 0.15)):
+        mine = [label for s, label in rows if split[s] == name]
+        assert {"writing", "not_writing"} <= set(mine) and abs(len(mine) / len(rows) - share) < 0.13
+
+
+def test_holdout_of_few_units(spark):
+    of = lambda rows: {r["unit"]: r["split"] for r in folds.holdout(spark.createDataFrame(rows, "session string, label string")).collect()}
+    both = ["writing", "not_writing"]
+    assert of([("a", both[i % 2]) for i in range(5)]) == {"a": "train"}
+    assert of([("a", both[i % 2]) for i in range(5)] + [("b", both[i % 2]) for i in range(4)]) == {"a": "train", "b": "test"}
+    assert sorted(of([(u, both[i % 2]) for u, n in (("a", 9), ("b", 5), ("c", 4)) for i in range(n)]).items()) == [("a", "train"), ("b", "val"), ("c", "test")]
+    assert of([]) == {}
+
+
+def test_random_rows(spark):
+    out = folds.random_rows(spark.range(1003).withColumnRenamed("id", "k"), ["k"])
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 702, "val": 150, "test": 151}
+
+
+def test_chains_of_matches(spark):
+    """Matching chain by chain is matching the whole session."""
+    rng = random.Random(8)
+    spans = lambda: sorted({(a := rng.randint(0, 3000), a + rng.randint(1, 40)) for _ in range(150)})
+    t, p = spans(), spans()
+    frame = lambda x: spark.createDataFrame([("a", *s) for s in x], "session string, start int, end int")
+    t, p = ([s for s, n in zip(x, [*x[1:], (10**9, 0)], strict=True) if s[1] < n[0]] for x in (t, p))  # events of one timeline don't overlap
+    pairs = events.overlapping(frame(t), frame(p))
+    got = {(r["i"], r["j"]) for r in events.matched(pairs, -F.col("iou")).collect()}
+    want = {(i, j) for _, i, j in naive.match(t, p, lambda a, b: -naive.iou(a, b), lambda a, b: naive.iou(a, b) > 0)}
+    assert got == want and len(got) > 20
+    assert pairs.count() == sum(a[0] < b[1] and b[0] < a[1] for a in t for b in p)
+
+
+def test_one_wrong_timestamp(spark):
+    """A jump of a day gives a row for every tick, in arrays of bounded length."""
+    rows = [("a", i, i * 40.0) for i in range(50)] + [("a", 50, 86_400_000.0)]
+    out = timing.resample(spark.createDataFrame(rows, "session string, frame_index int, timestamp_ms double"), 30)
+    n = int(86_400_000 / (1000 / 30)) + 1
+    assert out.count() == n and out.where("source_frame_index = 49").count() > n - 100
+
+
+def test_sweep(spark):
+    """Forests and window models of every fold, thresholds with their source, metrics raw and smoothed."""
+    rng = random.Random(2)
+    rows = [(f"p{u}", f"s{u}", i, (x := (i // 12 + u) % 2 * 0.6 + rng.random() * 0.5), int(x > 0.55), True, "writing" if x > 0.55 else "not_writing") for u in range(5) for i in range(120)]
+    df = spark.createDataFrame(rows, "participant string, session string, frame_index int, x double, y int, scored boolean, label string")
+    units = folds.unit_table(df)
+    assigned = folds.assigned(df, folds.with_validation(folds.group_k_fold(units, 2), units, 1))
+    a = experiment.forest_rows(assigned, ["x"], "own", trees=5, depth=3)
+    b = experiment.window_rows(assigned, ["x"], "own", 4, 2)
+    assert {r["threshold_source"] for r in a.select("threshold_source").distinct().collect()} <= {"out_of_fold", "val", "fallback"}
+    assert a.where("threshold_source = 'out_of_fold'").count() > 0 and b.where("threshold_source = 'val'").count() > 0
+    assert a.count() == b.count() == len(rows)
+    out = experiment.evaluated(a.unionByName(b)).collect()
+    assert len(out) == 2 * 2 * 2 and {r["variant"] for r in out} == {"raw", "smoothed"}
+    assert min(r["accuracy"] for r in out if r["model"] == "forest" and r["variant"] == "raw") > 0.9
 
 
 def test_statistics():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (a temporary one only where that is unset) and read again."""
+    """df written to the folder in spark.checkpoint.dir (a temporary one only where that is unset in local mode) and read again."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tideframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

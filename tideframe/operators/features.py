@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, over
 
 AXES = ("x", "y", "z")
@@ -59,8 +60,8 @@ def hand_scale(df: DataFrame, hand: str = "hand_detected", a: int = 9, b: int =
     """df with the distance of two points; rows without a hand, or with none to speak of, take the median of all good rows (1 without any)."""
     d = _distance(a, b)
     good = F.when((F.col(hand) == 1) & (d > 1e-6), d)
-    middle = df.agg(F.percentile(good, 0.5)).first()[0]  # one number
-    return df.withColumn(name, F.coalesce(good, F.lit(1.0 if middle is None else middle)))
+    middle = ranks.percentiles(df.select(good.alias("d")), "d", [0.5]).first()  # one number
+    return df.withColumn(name, F.coalesce(good, F.lit(middle[0][0] if middle and middle[0] else 1.0)))
 
 
 def point_speed(df: DataFrame, x: Column, y: Column, dt: str = "dt", detected: Column | None = None, keys: Key = "session", order: str = "frame_index") -> Column:
@@ -106,9 +107,10 @@ def wrist_normalised(df: DataFrame, points: list[tuple[str, str, str]]) -> DataF
 
 
 def canonical_hand(df: DataFrame, points: list[tuple[str, str, str]], relative: bool = True, handedness: str = "handedness", aspect: str = "aspect") -> DataFrame:
-    """Left hands mirrored in x: negated where x is relative to the wrist, else taken from the aspect (the picture's width)."""
+    """Left hands mirrored in x: negated where x is relative to the hand, else taken from the aspect (the picture's width; 1 where it isn't known)."""
     left = F.coalesce(F.col(handedness) == "Left", F.lit(False))
-    mirrored = (lambda c: -F.col(c)) if relative else (lambda c: F.col(aspect) - F.col(c))
+    width = F.coalesce(F.col(aspect), F.lit(1.0)) if aspect in df.columns else F.lit(1.0)
+    mirrored = (lambda c: -F.col(c)) if relative else (lambda c: width - F.col(c))
     return df.withColumns({p[0]: F.when(left, mirrored(p[0])).otherwise(F.col(p[0])) for p in points})
 
 
@@ -129,17 +131,38 @@ def world_pose(df: DataFrame, hand: str = "hand_detected") -> DataFrame:
     return df.fillna(0.0, columns)
 
 
-def prepare(df: DataFrame, pose: str = "image", with_motion: bool = True, with_pose: bool = True, with_velocity: bool = False, causal: bool = True, mirror: bool = True, keys: Key = "session", order: str = "frame_index") -> tuple[DataFrame, list[str]]:
-    """The feature plan in its fixed order: rule signals, motion, wrist normalisation, mirroring, velocities. Needs dt (repaired_steps)."""
+def prepare(df: DataFrame, pose: str = "image", with_motion: bool = True, with_pose: bool = True, with_velocity: bool = False, causal: bool = True, mirror: bool = True, normalise: bool = True, keys: Key = "session", order: str = "frame_index") -> tuple[DataFrame, list[str]]:
+    """The feature plan in its fixed order: rule signals, motion, wrist normalisation of the pose points, mirroring, velocities. Needs dt (repaired_steps).
+
+    The pose points are the picture's or, with pose='world', the world's, which replace them as features; signals and motion are of the
+    picture's points before normalisation. Velocities are of the picture's points as they are then: raw ones if the pose is the world's.
+    Without normalisation (normalise=False) world points are mirrored about the hand all the same, the picture's about its middle.
+    """
     points = landmarks(df.columns)
     df = rule_signals(df, keys, order)
     if with_motion:
         df = motion(hand_scale(df), keys, order, causal=causal)
-    df = wrist_normalised(df, points)
     if pose == "world":
         df = world_pose(df)
+    chosen = landmarks(df.columns, "wl") if pose == "world" else points
+    if normalise:
+        df = wrist_normalised(df, chosen)
     if mirror and "handedness" in df.columns:
-        df = canonical_hand(df, landmarks(df.columns, "wl" if pose == "world" else "l"))
+        df = canonical_hand(df, chosen, relative=normalise or pose == "world")
     if with_velocity:
         df = velocities(df, points, keys, order)
     return df, feature_order(df.columns, pose, with_motion, with_pose, with_velocity)
+
+
+def ablations(df: DataFrame, variants: dict[str, dict], keep: list[str]) -> DataFrame:
+    """Rows of each variant (name -> arguments of prepare) under one another: variant, keep, and its features as one map.
+
+    Variants differ in their features, so these are a map from name to value.
+    """
+    out = None
+    for name, args in variants.items():
+        rows, features = prepare(df, **args)
+        values = F.create_map(*(x for f in features for x in (F.lit(f), F.col(f).cast("double"))))
+        rows = rows.select(F.lit(name).alias("variant"), *keep, values.alias("features"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, f_beta, names, ratio
 
 COUNTS = ("tp", "fp", "fn", "tn")
@@ -59,9 +60,8 @@ def _curve(df: DataFrame, true: str, score: str, group: Key) -> DataFrame:
     g = names(group)
     rows = df.where(F.nanvl(F.col(score).cast("double"), F.lit(None)).isNotNull())
     by = rows.groupBy(*g, F.col(score).alias("s")).agg(F.count_if(F.col(true) == 1).alias("p"), F.count_if(F.col(true) != 1).alias("q"))
-    whole = Window.partitionBy(*g)
-    down = whole.orderBy(F.desc("s"))
-    return by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("q").over(whole)})
+    rows = ranks.running(by, "s", ["p", "q"], g)
+    return rows.select(*g, "s", "p", "q", (F.col("all_p") - F.col("before_p")).alias("tp"), (F.col("all_q") - F.col("before_q")).alias("fp"), F.col("all_p").alias("pos"), F.col("all_q").alias("neg"))
 
 
 def roc_auc(df: DataFrame, true: str, score: str, group: Key = ()) -> DataFrame:
@@ -87,7 +87,9 @@ def fit_threshold(df: DataFrame, true: str, score: str, group: Key = (), beta: f
     g = names(group)
     rows = df.select(*g, F.col(true).alias("_y"), F.nanvl(F.col(score).cast("double"), F.lit(None)).alias("_s")).where("_s is not null")
     at = [0.01 + 0.98 * i / (steps - 1) for i in range(steps)] if steps > 1 else [0.5]
-    candidates = rows.groupBy(*g).agg(F.array_distinct(F.percentile("_s", F.array(*(F.lit(q) for q in at)))).alias("cs"), F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.percentile("_s", 0.5).alias("mid"), F.count_if(F.col("_y") == 1).alias("pos"))
+    known = rows.groupBy(*g).agg(F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.count_if(F.col("_y") == 1).alias("pos"))
+    candidates = ranks.same_keys(known, ranks.percentiles(rows, "_s", [*at, 0.5], g, "cs"), g)
+    candidates = candidates.select(*g, "y0", "y1", "pos", F.array_distinct(F.slice("cs", 1, len(at))).alias("cs"), F.try_element_at("cs", F.lit(-1)).alias("mid"))
     both = rows.join(candidates.select(*g, "cs"), g) if g else rows.withColumn("_one", F.lit(1)).join(candidates.select("cs", F.lit(1).alias("_one")), "_one").drop("_one")
     reached = both.withColumn("c", F.size(F.filter("cs", lambda c: c <= F.col("_s"))))
     counts = reached.groupBy(*g, "c").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,7 +12,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.functions.expr import over
 from tideframe.operators import metrics
 
 
@@ -45,19 +45,27 @@ def importances(model: PipelineModel, features: list[str], df: DataFrame, n: int
     return df.sparkSession.createDataFrame(list(zip(features, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def out_of_fold(train: DataFrame, features: list[str], unit: str = "participant", k: int = 3, true: str = "y", **params) -> DataFrame:
-    """train with a score from a forest that did not see the row's unit: what thresholds are fitted on."""
-    part = F.pmod(F.xxhash64(F.col(unit).cast("string")), F.lit(k))
-    rows = train.withColumn("_part", part)
+def _each_part(rows: DataFrame, fit_and_score: Callable[[DataFrame, DataFrame], DataFrame], unit: str, k: int, true: str) -> DataFrame:
+    """rows scored part by part (units by hash) by what was fitted on the other parts, or on all where those lack a class."""
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(unit).cast("string")), F.lit(k)))
     done = []
     for i in range(k):
         inner = rows.where(F.col("_part") != i)
         if inner.select(true).distinct().count() < 2:
             inner = rows
-        done.append(scored_by(forest(inner, features, true, **params), rows.where(F.col("_part") == i)))
+        done.append(fit_and_score(inner, rows.where(F.col("_part") == i)))
     return reduce(DataFrame.unionByName, done).drop("_part")
 
 
+def out_of_fold(train: DataFrame, features: list[str], unit: str = "participant", k: int = 3, true: str = "y", **params) -> DataFrame:
+    """train with a score from a forest that did not see the row's unit: what thresholds are fitted on."""
+    return _each_part(train, lambda inner, part: scored_by(forest(inner, features, true, **params), part), unit, k, true)
+
+
+def windows_out_of_fold(wins: DataFrame, unit: str = "participant", k: int = 3, true: str = "y", name: str = "p") -> DataFrame:
+    return _each_part(wins, lambda inner, part: score_windows(window_model(inner, true), part, name), unit, k, true)
+
+
 def window_model(windows: DataFrame, true: str = "y") -> PipelineModel:
     """Logistic regression on flattened windows, balanced by class weights; it stands in for recurrent networks."""
     rows = balanced(windows, true).withColumn("features", array_to_vector(F.flatten(F.transform("window", lambda x: x.cast("array<double>")))))
@@ -67,9 +75,3 @@ def window_model(windows: DataFrame, true: str = "y") -> PipelineModel:
 def score_windows(model: PipelineModel, windows: DataFrame, name: str = "score") -> DataFrame:
     rows = windows.withColumn("features", array_to_vector(F.flatten(F.transform("window", lambda x: x.cast("array<double>")))))
     return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).select(*windows.columns, name)
-
-
-def with_previous(df: DataFrame, columns: list[str], n: int, keys="session", order: str = "frame_index") -> DataFrame:
-    """Lagged copies of columns, for frame models that need a little memory."""
-    w = over(keys, order)
-    return df.withColumns({f"{c}_lag{i}": F.coalesce(F.lag(c, i).over(w), F.col(c)) for c in columns for i in range(1, n + 1)})

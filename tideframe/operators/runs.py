@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, names, over
 
 
@@ -52,7 +53,7 @@ def chunked(df: DataFrame, rows: int = 500, keys: Key = "session", order: str =
 def granularity(df: DataFrame, label: str = "label", positive: str = "writing", keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms") -> DataFrame:
     """One row: number, percentiles and shares under 167 and 400 ms of positive runs and of interior pauses, and unsure rows.
 
-    A run lasts its rows times the session's median step (33.33 ms without one). A pause is one run of
+    Percentiles are whole ms. A run lasts its rows times the session's median step (33.33 ms without one). A pause is one run of
     not-positive between two positive ones.
     """
     k, w = names(keys), over(keys, order)
@@ -63,10 +64,14 @@ def granularity(df: DataFrame, label: str = "label", positive: str = "writing",
     r = r.withColumn("ms", F.col("n") * F.col("step"))
     is_run = F.coalesce(F.col(label) == positive, F.lit(False))
     is_pause = F.coalesce((F.col(label) == "not_" + positive) & (F.col("before") == positive) & (F.col("after") == positive), F.lit(False))
-    out = []
+    out, shares = [], (10, 25, 50, 75, 90)
+    kinds = r.select(F.when(is_run, "runs").when(is_pause, "pauses").alias("kind"), "ms").where("kind is not null")
+    found = ranks.percentiles(kinds, "ms", [q / 100 for q in shares], "kind")
     for name, cond in (("runs", is_run), ("pauses", is_pause)):
         value = F.when(cond, F.col("ms"))
         out.append(F.count(value).alias(f"n_{name}"))
-        out += [F.bround(F.percentile(value, q / 100), 1).alias(f"{name}_p{q}") for q in (10, 25, 50, 75, 90)]
         out += [F.bround(F.avg((value < t).cast("int")), 4).alias(f"{name}_under_{t}") for t in (167, 400)]
-    return r.agg(*out, F.sum(F.when(F.col(label) == "unsure", F.col("n")).otherwise(0)).alias("unsure_rows"))
+    whole = r.agg(*out, F.sum(F.when(F.col(label) == "unsure", F.col("n")).otherwise(0)).alias("unsure_rows"))
+    at = lambda name, i: F.max(F.when(F.col("kind") == name, F.bround(F.try_element_at("percentiles", F.lit(i + 1)), 0).cast("long")))
+    wide = found.agg(*(at(name, i).alias(f"{name}_p{q}") for name in ("runs", "pauses") for i, q in enumerate(shares)))
+    return ranks.same_keys(whole, wide, [])

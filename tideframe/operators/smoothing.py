@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, names, over
 
 
@@ -54,17 +52,14 @@ def smooth(df: DataFrame, score: str, threshold: float, band: float = 0.1, on: i
 def percentile_map(df: DataFrame, score: str, reference: DataFrame, ref: str, keys: Key = (), name: str = "percentile") -> DataFrame:
     """Share of the reference's values (of the same keys) that lie strictly under the score; the score itself without any.
 
-    One sort of both together: values of the reference counted before each score, in two levels (by
-    distinct value), so that equal scores are one row of the ordered part.
+    Distinct values of both are ordered together in two levels (ranks.running), so equal scores are one row there and no key's
+    values are one task's.
     """
     k = names(keys)
-    values = reference.where(F.col(ref).isNotNull()).groupBy(*k, F.col(ref).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    wanted = df.where(F.col(score).isNotNull()).select(*k, F.col(score).cast("double").alias("v")).distinct()
-    both = values.select(*k, "v", "c", F.lit(0).alias("ask")).unionByName(wanted.select(*k, "v", F.lit(0).cast("long").alias("c"), F.lit(1).alias("ask")))
-    whole = Window.partitionBy(*k)
-    equal = Window.partitionBy(*k, "v")
-    both = both.withColumns({"under": F.sum("c").over(whole.orderBy("v")) - F.sum("c").over(equal), "all": F.sum("c").over(whole)})
-    share = both.where("ask = 1").select(*k, F.col("v").alias("_v"), F.when(F.col("all") > 0, F.col("under") / F.col("all")).alias("_share"))
-    on = [df[c].eqNullSafe(share[c]) for c in k] + [df[score].cast("double").eqNullSafe(share["_v"])]
-    out = df.join(share, reduce(and_, on), "left")
-    return out.select(*(df[c] for c in df.columns if c != name), F.coalesce(share["_share"], df[score].cast("double")).alias(name))
+    values = reference.where(F.col(ref).isNotNull()).select(*k, F.col(ref).cast("double").alias("_v"), F.lit(1).alias("_c"))
+    wanted = df.where(F.col(score).isNotNull()).select(*k, F.col(score).cast("double").alias("_v"), F.lit(0).alias("_c"))
+    both = values.unionByName(wanted).groupBy(*k, "_v").agg(F.sum("_c").alias("_c"))
+    share = ranks.running(both, "_v", ["_c"], k).select(*k, "_v", F.when(F.col("all__c") > 0, F.col("before__c") / F.col("all__c")).alias("_share"))
+    columns = [c for c in df.columns if c != name]
+    out = ranks.same_keys(df.withColumn("_v", F.col(score).cast("double")), share, [*k, "_v"], "left")
+    return out.select(*columns, F.coalesce("_share", "_v").alias(name))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tideframe.functions.expr import Key, clip, finite, names, over
 
 
+#: Most ticks in one array.
+STRETCH = 10_000
+
+
 def session_fps(df: DataFrame, keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms") -> DataFrame:
     """keys, fps: 1000 / median of the positive steps in ms; null where there is none."""
     t = finite(F.col(ms).cast("double"))
@@ -48,8 +52,11 @@ def resample(df: DataFrame, fps: float, keys: Key = "session", order: str = "fra
     rows = rows.withColumn("_next", F.lead(t).over(w))
     first = F.ceil((t - F.col("_t0")) / step)
     last = F.when(F.col("_next").isNotNull(), F.ceil((F.col("_next") - F.col("_t0")) / step) - 1).otherwise(F.floor((t + 1e-6 - F.col("_t0")) / step))
-    ticks = F.when(F.col("_same"), F.array(F.lit(None).cast("long"))).when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
-    rows = rows.withColumn("_tick", F.explode(ticks))
+    # a gap's ticks in stretches, and each stretch's ticks: a wrong timestamp makes many rows but no huge array
+    stretches = F.when(F.col("_same"), F.array(F.lit(None).cast("long"))).when(last >= first, F.sequence(first, last, F.lit(STRETCH))).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("_last", last).withColumn("_stretch", F.explode(stretches))
+    within = F.when(F.col("_stretch").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence("_stretch", F.least("_last", F.col("_stretch") + STRETCH - 1)))
+    rows = rows.withColumn("_tick", F.explode(within)).drop("_last", "_stretch")
     moved = F.col("_tick").isNotNull()
     return rows.select(
         *(c for c in df.columns if c not in (order, ms)),
@@ -59,6 +66,12 @@ def resample(df: DataFrame, fps: float, keys: Key = "session", order: str = "fra
     )
 
 
+def repair_notes(df: DataFrame, group: Key = (), name: str = "dt", scale: float = 1.0) -> DataFrame:
+    """Per group of repaired_steps(): rows, repaired rows, and the median of the rates 1 / step (times scale) after repair."""
+    rate = F.lit(scale) / F.col(name)
+    return df.groupBy(*names(group)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(f"{name}_repaired")).alias("repaired"), F.percentile(rate, 0.5).alias("median_rate"))
+
+
 def clock_notes(df: DataFrame, keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms") -> DataFrame:
     """fps (to one place), sessions: a histogram of measured rates."""
     return session_fps(df, keys, order, ms).groupBy(F.round("fps", 1).alias("fps")).agg(F.count(F.lit(1)).alias("sessions"))

@@ -111,7 +111,7 @@ def chunked_sessions(spark, sf_dir):
 _G = []
 for _n, _c in (("runs", "v = 'writing'"), ("pauses", "v = 'not_writing' AND before = 'writing' AND after = 'writing'")):
     _v = f"CASE WHEN {_c} THEN ms END"
-    _G += [f"count({_v}) AS n_{_n}"] + [f"round(quantile_cont({_v}, {q / 100}), 1) AS {_n}_p{q}" for q in (10, 25, 50, 75, 90)]
+    _G += [f"count({_v}) AS n_{_n}"] + [f"CAST(round_even(quantile_cont({_v}, {q / 100}), 0) AS BIGINT) AS {_n}_p{q}" for q in (10, 25, 50, 75, 90)]
     _G += [f"round(avg(CASE WHEN {_v} IS NULL THEN NULL WHEN {_v} < {t} THEN 1.0 ELSE 0.0 END), 4) AS {_n}_under_{t}" for t in (167, 400)]
 
 
@@ -140,14 +140,6 @@ def cut_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return runs.events(cut, "y", k, least=1), runs.events(cut, "pred", k, least=1), k
 
 
-@query(sql(TIMELINE, HYST, EVENTS, of="SELECT session, CAST(sub AS BIGINT) AS sub, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(iou, 6) AS iou FROM pairs WHERE iou >= 0.51"))
-def event_match_iou(spark, sf_dir):
-    """Over an overlap of one half no event has two partners, so the one-to-one matching has an SQL twin."""
-    t, p, k = cut_events(spark, sf_dir)
-    found = events.matched(events.overlapping(t, p, k).where("iou >= 0.51"), -F.col("iou"), k)
-    return rounded(found.select(*k, "i", "j", (-F.col("cost")).alias("iou")))
-
-
 @query(sql(TIMELINE, HYST, EVENTS, of="""SELECT ti.session, CAST(ti.sub AS BIGINT) AS sub, CAST(ti.i AS INTEGER) AS i, count(pairs.j) AS n
 FROM ti LEFT JOIN pairs ON ti.session = pairs.session AND ti.sub = pairs.sub AND ti.i = pairs.i GROUP BY ALL"""))
 def event_fragments(spark, sf_dir):
@@ -171,16 +163,6 @@ def pause_candidates(spark, sf_dir):
     return pairs.select("session", "tolerance", F.col("t_start").cast("long").alias("t_start"), F.col("p_start").cast("long").alias("p_start"), F.col("error").cast("long").alias("error"))
 
 
-@query()
-def event_metrics(spark, sf_dir):
-    return events.event_metrics(runs.split_unscored(predicted(spark, sf_dir)), "y", "pred", group="source", keys=["session", "sub"], least=2)
-
-
-@query()
-def pause_metrics(spark, sf_dir):
-    return events.pause_metrics(runs.split_unscored(predicted(spark, sf_dir)), "y", "pred", group="source", keys=["session", "sub"], least=1)
-
-
 SEGMENTS = ",\n".join([CUT.format("hyst"), _runs_sql("cut", "y", "t", "source, session, sub"), _runs_sql("cut", "pred", "p", "source, session, sub")])
 
 
@@ -326,13 +308,6 @@ def aspect_correction(spark, sf_dir):
     return rounded(clean.correct_aspect(poses(spark, sf_dir), ["l0_x", "l8_x"]).select("session", "frame_index", "l0_x", "l8_x"))
 
 
-@query()
-def prepared_features(spark, sf_dir):
-    """The whole feature plan: 76 columns in their order."""
-    rows, names = features.prepare(stepped(spark, sf_dir))
-    return rounded(rows.select("session", "frame_index", *names))
-
-
 # -- windows
 
 
@@ -385,14 +360,6 @@ def confusion_by_fold(spark, sf_dir):
     return rounded(metrics.evaluate(scored_rows(spark, sf_dir), "y", "score", 0.5, "participant").select("participant", "tp", "fp", "fn", "tn", *RATE_NAMES))
 
 
-@query(sql(TIMELINE, SCORED, f"c AS (SELECT participant, {COUNTS} FROM sr GROUP BY participant)", of="""
-SELECT participant, '1' AS class, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, tp + fn AS support FROM c
-UNION ALL SELECT participant, '0', round(coalesce(tn / nullif(tn + fn, 0), 0), 6), round(coalesce(tn / nullif(tn + fp, 0), 0), 6), round(coalesce(2.0 * tn / nullif(2 * tn + fp + fn, 0), 0), 6), tn + fp FROM c"""))
-def class_report(spark, sf_dir):
-    counts = metrics.confusion(scored_rows(spark, sf_dir), "y", F.col("score") >= 0.5, "participant")
-    return rounded(metrics.class_report(counts, "participant").where(F.col("class").isin("0", "1")))
-
-
 @query(sql(TIMELINE, SCORED, f"c AS (SELECT participant, CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(hand_detected) = 0 THEN 'hand_detected' ELSE 'all' END AS slice, coalesce(CAST(source AS VARCHAR), CAST(hand_detected AS VARCHAR), 'all') AS value, {COUNTS} FROM sr GROUP BY GROUPING SETS ((participant), (participant, source), (participant, hand_detected)))",
     "d AS (SELECT *, count(*) OVER (PARTITION BY participant, slice) AS m FROM c)", of="SELECT participant, slice, value, tp, fp, fn, tn FROM d WHERE slice = 'all' OR m > 1"))
 def metric_grouping_sets(spark, sf_dir):
@@ -421,13 +388,6 @@ def threshold_fit(spark, sf_dir):
     return rounded(metrics.fit_threshold(scored_rows(spark, sf_dir), "y", "score", "participant", steps=39))
 
 
-@query(sql(TIMELINE, of="SELECT session, frame_index, round((SELECT count(*) FROM timeline r WHERE r.source = t.source AND r.participant % 2 = 0 AND r.score < t.score)::DOUBLE / (SELECT count(*) FROM timeline r WHERE r.source = t.source AND r.participant % 2 = 0), 6) AS percentile FROM timeline t WHERE t.participant % 2 = 1"))
-def percentile_map(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    out = smoothing.percentile_map(rows.where("participant % 2 = 1"), "score", rows.where("participant % 2 = 0"), "score", "source")
-    return rounded(out.select("session", "frame_index", "percentile"))
-
-
 # -- folds
 
 FOLDS_SQL = """us AS (SELECT CAST(participant AS VARCHAR) AS unit, count(*) AS n, sum(y) AS pos FROM timeline GROUP BY participant),
@@ -479,38 +439,9 @@ def leakage_audit(spark, sf_dir):
     return rounded(folds.leakage(leaky).select("fold", F.size("leaking").cast("long").alias("n_leaking"), "share"))
 
 
-@query()
-def group_kfold(spark, sf_dir):
-    return folds.group_k_fold(units(spark, sf_dir), 5)
-
-
-@query()
-def holdout_split(spark, sf_dir):
-    return folds.holdout(timeline(spark, sf_dir))
-
-
-@query()
-def random_row_split(spark, sf_dir):
-    return folds.random_rows(timeline(spark, sf_dir), ["session", "frame_index"]).select("session", "frame_index", "split")
-
-
-@query(sql(TIMELINE, of="SELECT session, frame_index, CASE WHEN source = 2 THEN 'test' WHEN participant IN (3, 7) THEN 'val' ELSE 'train' END AS split FROM timeline WHERE source IN (1, 2)"))
-def transfer_split(spark, sf_dir):
-    rows = timeline(spark, sf_dir).withColumn("source", F.col("source").cast("string"))
-    return folds.transfer(rows, "1", "2", ["3", "7"]).select("session", "frame_index", "split")
-
-
 # -- cleaning
 
 
-@query(sql(TIMELINE, "bad AS (SELECT session, list_sort(list(DISTINCT label) FILTER (WHERE label = 'unsure')) AS u FROM timeline GROUP BY session)",
-    of="SELECT t.session, t.frame_index, t.label FROM timeline t WHERE frame_index < 6 AND NOT EXISTS (SELECT 1 FROM timeline b WHERE b.session = t.session AND b.frame_index < 6 AND b.label = 'unsure')"))
-def quarantine_sessions(spark, sf_dir):
-    """With 'unsure' outside the vocabulary, so that some sessions are bad."""
-    good, _ = clean.quarantine(timeline(spark, sf_dir).where("frame_index < 6"), vocabulary=("writing", "not_writing"))
-    return good.select("session", "frame_index", "label")
-
-
 @query(sql(TIMELINE, of="SELECT concat(source, ':', participant) AS participant, concat(source, ':', session) AS session, frame_index FROM timeline"))
 def combine_namespaced(spark, sf_dir):
     rows = timeline(spark, sf_dir)
@@ -600,25 +531,10 @@ def shared_configs(spark, sf_dir):
     return rounded(compare.shared_pairs(s, "model"))
 
 
-@query(sql(TIMELINE, RESULTS, "s AS (SELECT dataset, model, avg(f1) AS f1 FROM rs GROUP BY ALL)", """pq AS (SELECT a.dataset AS corpus_a, b.dataset AS corpus_b, x.model AS m, sign(x.f1 - a.f1) AS sa, sign(y.f1 - b.f1) AS sb
-  FROM s a JOIN s b ON a.model = b.model AND a.dataset < b.dataset JOIN s x ON x.dataset = a.dataset AND x.model > a.model JOIN s y ON y.dataset = b.dataset AND y.model = x.model)""",
-    of="SELECT CAST(corpus_a AS VARCHAR) AS corpus_a, CAST(corpus_b AS VARCHAR) AS corpus_b, round(sum(sa * sb) / sqrt(sum(sa * sa) * sum(sb * sb)), 6) AS tau FROM pq GROUP BY ALL"))
-def kendall_tau(spark, sf_dir):
-    s = results(spark, sf_dir).groupBy(F.col("dataset").cast("string").alias("dataset"), F.col("model").alias("config")).agg(F.avg("f1").alias("f1"))
-    return rounded(compare.kendall(s).select("corpus_a", "corpus_b", "tau"))
-
-
 def config_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("dataset", F.col("model").alias("config"), "fold", F.round("f1", 9).alias("score"))
 
 
-@query(sql(TIMELINE, RESULTS, "v AS (SELECT dataset, fold, model, round(f1, 9) AS f FROM rs)", "r AS (SELECT *, rank() OVER (PARTITION BY dataset, fold ORDER BY f) + (count(*) OVER (PARTITION BY dataset, fold, f) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY dataset, fold, f) AS t FROM v)",
-    "s AS (SELECT dataset, model, sum(r) AS rr, count(*) AS n FROM r GROUP BY ALL)", "a AS (SELECT dataset, sum(rr * rr) AS ss, count(*) AS m, max(n) AS n FROM s GROUP BY dataset)", "b AS (SELECT dataset, sum(t * t - 1) AS t FROM r GROUP BY dataset)",
-    of="SELECT dataset, n AS n_folds, m AS n_configs, round((12.0 / (n * m * (m + 1)) * ss - 3 * n * (m + 1)) / (1 - t / (n * m * (m * m - 1))), 6) AS chi2 FROM a JOIN b USING (dataset)"))
-def friedman(spark, sf_dir):
-    return rounded(compare.friedman(config_scores(spark, sf_dir), keys="dataset").drop("p"))
-
-
 @query()
 def wilcoxon_holm(spark, sf_dir):
     return rounded(compare.wilcoxon_holm(config_scores(spark, sf_dir), keys="dataset"))
@@ -648,23 +564,9 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["score", "k", "mean5", "k5", "hand"]
 
 
-@query()
-def forest_scores(spark, sf_dir):
-    """A forest on two thirds of the participants, scoring the rest."""
-    rows = lagged(spark, sf_dir)
-    model = models.forest(rows.where("scored and participant % 3 != 0"), FEATURES, trees=20, depth=5)
-    return rounded(models.scored_by(model, rows.where("participant % 3 = 0")).select("session", "frame_index", "score", "y"))
-
-
-@query()
-def window_model_scores(spark, sf_dir):
-    wins = windows.sliding(lagged(spark, sf_dir), ["score", "k"], 8, 2, keep=("participant",))
-    model = models.window_model(wins.where("participant % 3 != 0"))
-    scored = models.score_windows(model, wins.where("participant % 3 = 0").withColumnRenamed("y", "target").withColumn("y", F.col("target")), "p")
-    return rounded(windows.held(scored, "p"))
-
-
 @query(sql(TIMELINE, of="SELECT source, round(corr(score, k), 6) AS r, count(*) AS n FROM timeline GROUP BY source"))
 def signal_correlation(spark, sf_dir):
     return rounded(timeline(spark, sf_dir).groupBy("source").agg(F.corr("score", F.col("k").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")))
 
+
+from tideframe.plans import further  # noqa: E402, F401  adds its queries

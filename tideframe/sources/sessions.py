@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideframe.functions.expr import number, scored, truthy
+from tideframe.functions.staging import staged
 from tideframe.operators import clean, timing
 
 POINTS = range(21)
+#: A line with this cell is a header; columns may stand in any order.
+IS_HEADER = r'(^|,)\s*"?frame_index"?\s*(,|\r?$)'
 LANDMARKS = [f"l{i}_{a}" for i in POINTS for a in "xyz"]
 WORLD = [f"wl{i}_{a}" for i in POINTS for a in "xyz"]
 _PLACE = r"([^/]+)/([^/]+)/[^/]+$"
@@ -33,15 +36,22 @@ def _placed(df: DataFrame) -> DataFrame:
 def read_landmarks(spark: SparkSession, root: str) -> DataFrame:
     """Frames of all sessions. Values are read as text by header and cast, as sessions differ in columns and in how they write true.
 
-    Files are read by their own headers, one group of equal headers at a time: under one schema Spark would bind
-    columns by position. There are as many groups as kinds of export, not as sessions.
+    Files are read by their own headers, in which columns may stand in any order, one group of equal headers at a time: under one
+    schema Spark would bind columns by position. There are as many groups as kinds of export, not as sessions. A file
+    without such a header is refused.
     """
     glob = f"{root}/*/S*/landmarks.csv"
     lines = spark.read.text(glob).select("value", F.col("_metadata.file_path").alias("path"))
-    headers = lines.where(F.col("value").startswith("frame_index")).groupBy("value").agg(F.collect_set("path").alias("paths"))
+    heads = lines.groupBy("path").agg(F.max(F.when(F.col("value").rlike(IS_HEADER), F.regexp_replace("value", "^\uFEFF|\r$", ""))).alias("header"))
+    heads = staged(heads, "headers")  # a row a file
+    bad = heads.where("header is null").limit(3).collect()
+    if bad:
+        raise ValueError(f"no header with frame_index in {[r['path'] for r in bad]}")
     out = None
-    for header, paths in headers.select("value", "paths").orderBy("value").collect():
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header.split(",")])
+    for (header,) in heads.select("header").distinct().orderBy("header").collect():
+        columns = [c.strip().strip('"') for c in header.split(",")]
+        paths = [r["path"] for r in heads.where(F.col("header") == header).select("path").collect()]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         rows = _placed(spark.read.schema(schema).option("header", True).csv(paths))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:

@@ -2,16 +2,19 @@
 
 Each operator keeps a small state per session (a held row, a ring of speeds, a decision and the rows it waits for), so state
 grows with open sessions and not with rows. Rows of a session that come at or before one already taken are late and dropped.
-A session without rows for as long as the watermark allows is closed, and what it held back is given out.
-On the same rows in order they give what the batch operators give (tests/test_streaming.py).
+With an event time, a session is closed once the watermark (`idle` behind the latest event of all) has passed its own latest
+event, and what it held back is given out. On the same rows in order they give what the batch operators give
+(tests/test_streaming.py), but for one thing: a missing step is repaired by the median of the session's good steps so far,
+as the batch operator's median of the whole session isn't known yet.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from bisect import insort
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,26 +49,38 @@ class Ticks:
 
 
 class Speeds:
-    """Step repaired by the running median of good steps, speed, and its trailing mean and deviation over n rows."""
+    """Step repaired by the running median of good steps, speed, and its trailing mean and deviation over n rows.
+
+    The median is exact: good steps are counted by value, in whole microseconds, at most high - low thousands of them.
+    """
 
     columns = "dt double, speed double, mean double, sd double"
 
     def __init__(self, n: int = 31, low: float = 5.0, high: float = 200.0, state: dict | None = None):
         self.n, self.low, self.high = n, low, high
-        self.s = state or {"last": None, "steps": [], "order": [], "ring": []}
+        self.s = state or {"last": None, "steps": [], "counts": [], "ring": []}
+
+    def _count(self, step: int) -> None:
+        at = bisect_left(self.s["steps"], step)
+        if self.s["steps"][at : at + 1] != [step]:
+            self.s["steps"].insert(at, step)
+            self.s["counts"].insert(at, 0)
+        self.s["counts"][at] += 1
+
+    def _median(self) -> float:
+        """In ms; of no step: 1000 / 30."""
+        ends = list(accumulate(self.s["counts"]))
+        if not ends:
+            return 1000 / 30
+        return sum(self.s["steps"][bisect_left(ends, k)] for k in ((ends[-1] + 1) // 2, ends[-1] // 2 + 1)) / 2000
 
     def row(self, frame: int, ms: float, value: float) -> Iterator[tuple]:
         s, moved = self.s, 0.0
         d = None if s["last"] is None else ms - s["last"][0]
         good = d is not None and self.low <= d <= self.high
         if good:
-            insort(s["steps"], d)
-            s["order"].append(d)
-            if len(s["order"]) > 1001:  # the median of the last thousand good steps
-                s["steps"].remove(s["order"].pop(0))
-        m = len(s["steps"])
-        middle = (s["steps"][m // 2] + s["steps"][(m - 1) // 2]) / 2 if m else 1000 / 30
-        dt = (d if good else middle) / 1000
+            self._count(round(d * 1000))
+        dt = (d if good else self._median()) / 1000
         if s["last"] is not None:
             moved = abs(value - s["last"][1])
         s["last"] = [ms, value]
@@ -134,17 +149,19 @@ def _apply(df: DataFrame, make: Callable[[dict | None], object], columns: str, k
             state.remove()
         else:
             for frame in frames:
+                if event_time and len(frame):
+                    held["seen"] = max(held.get("seen") or 0, int(frame["_at"].max()))
                 for f, t, v in frame.sort_values(order)[[order, ms, value]].itertuples(index=False):
                     if held["last"] is not None and f <= held["last"]:
                         continue
                     held["last"] = int(f)
                     out += op.row(int(f), float(t), None if pd.isna(v) else float(v))
-            state.update((json.dumps({"last": held["last"], "own": op.s}),))
-            if event_time:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(pd.Timedelta(idle).total_seconds() * 1000) + 1)
+            state.update((json.dumps({"last": held["last"], "seen": held.get("seen"), "own": op.s}),))
+            if event_time:  # the watermark is `idle` behind the latest event, so it passes this session's latest once others are that far ahead
+                state.setTimeoutTimestamp(max(held["seen"], state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(k[0], *r) for r in out], columns=names)
 
-    rows = df.select(F.col(key).cast("string").alias(key), order, F.col(ms).cast("double").alias(ms), F.col(value).cast("double").alias(value), *([event_time] if event_time else []))
+    rows = df.select(F.col(key).cast("string").alias(key), order, F.col(ms).cast("double").alias(ms), F.col(value).cast("double").alias(value), *([event_time, F.unix_millis(event_time).alias("_at")] if event_time else []))
     if event_time:
         rows = rows.withWatermark(event_time, idle)
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
