@@ -426,6 +426,25 @@ def friedman(spark, sf_dir):
     return rounded(compare.friedman(r.config_scores(spark, sf_dir), keys="dataset"))
 
 
+_WAYS_OF_RANKS = """wy AS (SELECT 0::BIGINT AS n, [1::HUGEINT] AS ways UNION ALL
+  SELECT n + 1, list_transform(range(len(ways) + n + 1), lambda k: coalesce(ways[k + 1], 0) + CASE WHEN k > n THEN coalesce(ways[k - n], 0) ELSE 0 END) FROM wy WHERE n < 50)"""
+_ERFC = "(1 - 2 / sqrt(pi()) * (SELECT sum(power(-1, k) * power(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) FROM (SELECT unnest(range(0, 100)) AS k)))"
+
+
+@query(recursive(TIMELINE, r.RESULTS, _WAYS_OF_RANKS, "v AS (SELECT dataset, fold, model, round(f1, 9) AS f FROM rs)", "mn AS (SELECT dataset, model, avg(f) AS m FROM v GROUP BY ALL)",
+    "be AS (SELECT dataset, model AS best FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY m DESC, model) AS rn FROM mn) WHERE rn = 1)",
+    "di AS (SELECT v.dataset, be.best, v.model AS other, w.f - v.f AS d FROM v JOIN be USING (dataset) JOIN v w ON w.dataset = v.dataset AND w.fold = v.fold AND w.model = be.best WHERE v.model <> be.best)",
+    "rk AS (SELECT *, rank() OVER q + (count(*) OVER (PARTITION BY dataset, other, abs(d)) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY dataset, other, abs(d)) AS t FROM di WHERE d <> 0 WINDOW q AS (PARTITION BY dataset, other ORDER BY abs(d)))",
+    "a AS (SELECT dataset, best, other, avg(d) AS mean_diff, count(*) AS n_all FROM di GROUP BY ALL HAVING max(abs(d)) > 1e-8)", "c AS (SELECT dataset, other, count(*) AS n, coalesce(sum(rk) FILTER (WHERE d > 0), 0) AS plus, sum(t * t - 1) AS ties FROM rk GROUP BY ALL)",
+    "e AS (SELECT a.*, n, ties, least(plus, n * (n + 1) / 2.0 - plus) AS w FROM a JOIN c USING (dataset, other))", "y AS (SELECT *, abs(w - n * (n + 1) / 4.0) / sqrt(2 * (n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)) AS z FROM e)",
+    f"p AS (SELECT y.dataset, best, other, mean_diff, CASE WHEN y.n <= 50 AND ties = 0 AND y.n = n_all THEN least(1.0, 2.0 * list_sum(wy.ways[1:CAST(floor(w) AS BIGINT) + 1]) / power(2, y.n)) ELSE {_ERFC} END AS p FROM y LEFT JOIN wy ON wy.n = y.n)",
+    "h AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY dataset) - row_number() OVER (PARTITION BY dataset ORDER BY p, other) + 1) * p) AS s FROM p)",
+    of="SELECT dataset, best, other, round(mean_diff, 6) AS mean_diff, round(p, 6) AS p, round(max(s) OVER (PARTITION BY dataset ORDER BY p, other ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM h"))
+def wilcoxon_holm(spark, sf_dir):
+    """The SQL counts sets of ranks by their sum where p is exact, and sums the series of the error function where it is normal."""
+    return rounded(compare.wilcoxon_holm(r.config_scores(spark, sf_dir), keys="dataset"))
+
+
 # -- models (rows only)
 
 

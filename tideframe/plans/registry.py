@@ -535,11 +535,6 @@ def config_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(spark, sf_dir).select("dataset", F.col("model").alias("config"), "fold", F.round("f1", 9).alias("score"))
 
 
-@query()
-def wilcoxon_holm(spark, sf_dir):
-    return rounded(compare.wilcoxon_holm(config_scores(spark, sf_dir), keys="dataset"))
-
-
 @query(sql(TIMELINE, """q AS (SELECT source, participant, quantile_cont(score, 0.5) AS t FROM timeline GROUP BY ALL)""", of="SELECT source, round(quantile_cont(t, 0.5), 6) AS recommended, round(arg_min(t, participant), 6) AS first_fold, round(min(t), 6) AS least, round(max(t), 6) AS greatest, count(t) AS n FROM q GROUP BY source"))
 def threshold_summary(spark, sf_dir):
     t = timeline(spark, sf_dir).groupBy("source", "participant").agg(F.percentile("score", 0.5).alias("threshold"))
