@@ -37,7 +37,7 @@ def forest(train: DataFrame, features: list[str], true: str = "y", trees: int =
 
 def scored_by(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
     out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.select(*df.columns, name)
+    return out.select(*(c for c in df.columns if c != name), name)
 
 
 def importances(model: PipelineModel, features: list[str], df: DataFrame, n: int = 20) -> DataFrame:
@@ -74,4 +74,4 @@ def window_model(windows: DataFrame, true: str = "y") -> PipelineModel:
 
 def score_windows(model: PipelineModel, windows: DataFrame, name: str = "score") -> DataFrame:
     rows = windows.withColumn("features", array_to_vector(F.flatten(F.transform("window", lambda x: x.cast("array<double>")))))
-    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).select(*windows.columns, name)
+    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).select(*(c for c in windows.columns if c != name), name)
