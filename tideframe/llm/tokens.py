@@ -50,7 +50,7 @@ def _byte_letters() -> dict[int, str]:
 class UnitTokenizer:
     """Ids as bytes (`dtype`, little endian) of each text: those that the library gives with add_special_tokens=False."""
 
-    def __init__(self, path: str, max_units: int = 400_000):
+    def __init__(self, path: str, max_units: int = 200_000):
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
         #: Texts in which a special token is written out go through the library whole.
