@@ -139,3 +139,14 @@ def test_contract_and_importances(spark, tmp_path):
     results.write_contract(spark, ["a", "b"], points, {"band": 0.2}, {"writing": 1}, f"file://{tmp_path}/contract")
     r = spark.read.json(f"file://{tmp_path}/contract").first()
     assert (r["features"], r["threshold"], r["fps"], r["smoothing"]["band"], r["labels"]["writing"]) == (["a", "b"], 0.4, 30.0, 0.2, 1)
+
+
+def test_breakdowns_and_folds_on_disk(spark, tmp_path):
+    (tmp_path / "runs/a").mkdir(parents=True)
+    (tmp_path / "runs/a/summary.json").write_text(json.dumps([{"dataset": "d", "model": "m", "n_folds": 1, "metrics": {}, "by_source": {"own": {"f1": 0.5, "n": 3}, "web": {"f1": 0.25, "n": 1}}}, {"dataset": "d", "model": "x", "n_folds": 1, "metrics": {}}]))
+    rows = results.breakdown(results.read_summaries(spark, f"file://{tmp_path}/runs")).collect()
+    assert {(r["model"], r["slice"], r["metric"], r["value"]) for r in rows} == {("m", "own", "f1", 0.5), ("m", "own", "n", 3.0), ("m", "web", "f1", 0.25), ("m", "web", "n", 1.0)}
+    units = spark.createDataFrame([(u, 10, 5, "") for u in "abcd"], "unit string, n long, pos long, tie string")
+    results.write_folds(folds.layout(folds.leave_one_out(units), 2), f"file://{tmp_path}/folds")
+    lines = [json.loads(line) for f in sorted((tmp_path / "folds").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [(x["fold"], x["test"], x["train"], x["note"]) for x in lines] == [("fold01_a", ["a"], ["b", "c", "d"], "4 folds available, 2 run"), ("fold02_b", ["b"], ["a", "c", "d"], "4 folds available, 2 run")]

@@ -102,3 +102,13 @@ def profile(df: DataFrame, group: Key = (), session: str = "session", participan
         *(F.count_if(F.coalesce(F.col(label) == v, F.lit(False))).alias(f"{v}_rows") for v in VOCABULARY),
     )
     return counts
+
+
+def seen(df: DataFrame, columns: list[str], group: Key = (), session: str = "session") -> DataFrame:
+    """group, what, value, sessions: how many sessions have each value of each column (resolution, schema version, origin of the aspect, rate); null is 'unknown'.
+
+    A session with several values counts at each of them.
+    """
+    g = names(group)
+    pairs = F.array(*(F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns))
+    return df.select(*g, session, F.inline(pairs)).groupBy(*g, "what", "value").agg(F.count_distinct(session).alias("sessions"))

@@ -208,6 +208,23 @@ def repair_notes(spark, sf_dir):
     return rounded(timing.repair_notes(rows, "source", scale=1e6), 4)
 
 
+@query(sql(TIMELINE, _META, "w AS (SELECT me.source, me.session, concat(coalesce(CAST(width AS VARCHAR), '?'), 'x', height) AS resolution, CASE WHEN width IS NOT NULL THEN 'size' WHEN me.aspect IS NOT NULL THEN 'aspect' WHEN le.aspect IS NOT NULL THEN 'legacy' ELSE 'unknown' END AS aspect_from, CASE WHEN me.session % 4 > 0 THEN CAST(me.session % 4 AS VARCHAR) ELSE 'unknown' END AS schema_version FROM me LEFT JOIN le ON le.key = concat(me.source, '/', me.session))",
+    "l AS (UNPIVOT w ON resolution, aspect_from, schema_version INTO NAME what VALUE value)", of="SELECT source, what, value, count(DISTINCT session) AS sessions FROM l GROUP BY ALL"))
+def values_seen(spark, sf_dir):
+    """Resolutions, origins of the aspect and schema versions by number of sessions."""
+    rows, meta, legacy = _session_tables(spark, sf_dir)
+    one = clean.with_aspect(rows.select("source", "session").distinct(), meta, legacy).join(meta.select("source", "session", "width", "height"), ["source", "session"])
+    one = one.withColumns({"resolution": F.concat(F.coalesce(F.col("width").cast("string"), F.lit("?")), F.lit("x"), F.col("height")), "schema_version": F.when(F.col("session") % 4 > 0, F.col("session") % 4)})
+    return clean.seen(one, ["resolution", "aspect_from", "schema_version"], "source")
+
+
+@query(sql(TIMELINE, r.FOLDS_SQL, r.VAL, "c AS (SELECT count(DISTINCT fold) AS n FROM vf)", "u AS (SELECT fold, fold_no, " + ", ".join(f"coalesce(string_agg(unit, '+' ORDER BY unit) FILTER (WHERE split = '{s}'), '') AS {s}" for s in ("train", "val", "test")) + " FROM vf GROUP BY ALL)",
+    of="SELECT fold, fold_no, train, val, test, CASE WHEN n > 3 THEN concat(n, ' folds available, 3 run') END AS note FROM u, c WHERE fold_no <= 3"))
+def fold_layout(spark, sf_dir):
+    out = folds.layout(r.lopo_with_validation(spark, sf_dir), 3)
+    return out.select("fold", "fold_no", *(F.array_join(s, "+").alias(s) for s in ("train", "val", "test")), "note")
+
+
 # -- feature variants
 
 

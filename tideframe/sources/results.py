@@ -31,6 +31,18 @@ def wide(summaries: DataFrame, metrics: tuple[str, ...] = WIDE) -> DataFrame:
     return summaries.select("run", "dataset", "model", window.alias("window"), "n_folds", *values)
 
 
+def breakdown(summaries: DataFrame, column: str = "by_source") -> DataFrame:
+    """run, dataset, model, slice, metric, value: the records of a breakdown (JSON text: slice -> metric -> number) as rows; text that isn't one gives none."""
+    parsed = F.from_json(column, "map<string,map<string,double>>")
+    rows = summaries.select("run", "dataset", "model", F.explode(parsed).alias("slice", "metrics"))
+    return rows.select("run", "dataset", "model", "slice", F.explode("metrics").alias("metric", "value"))
+
+
+def write_folds(layout: DataFrame, path: str) -> None:
+    """The folds in their order, one JSON row each (folds.layout)."""
+    layout.orderBy("fold_no").coalesce(1).write.mode("overwrite").json(path)  # a row a fold
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
