@@ -5,6 +5,9 @@ from tests.llm.helpers import EDGES, corpus
 from tests.llm.test_operators import brute_classes, quality_rows
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def test_pipeline(spark, tmp_path):
     rows, marks = quality_rows(120)
     docs = rows + [(500 + i, t, lang, s) for i, t, lang, s in corpus()] + [(700, "the password=c6d64b9a661f85b709 is here " + rows[0][1], "en", "s")] + EDGES
@@ -38,3 +41,21 @@ def test_pipeline(spark, tmp_path):
     whole = packed.where("start = 0").count()
     assert whole == mixed.count()
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_pipeline_with_nulls_ties_and_clashing_names(spark, tmp_path):
+    """Rows without doc_id, text or language, rows that repeat, and further columns that are named like those of results."""
+    good = "This is a plain sentence of ordinary words, and here is another one that follows it at some length."
+    rows = [(1, good, "en"), (1, good, "en"), (None, good + " More of it comes here.", None), (None, None, None), (2, None, "de"), (3, "", None), (4, good.upper() + " Quite other words stand in this line, so that nothing is alike.", "en")]
+    df = spark.createDataFrame([(*r, "s", len(r[1] or ""), "k", 1, 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, root string, key long, rate double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns, name
+        assert out.count() >= (1 if name == "quality_rules" else 2), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SMALL).where("start = 0").count() == len(rows)
