@@ -45,7 +45,7 @@ def histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
     later = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = later.select("block", *(F.coalesce(F.sum(c).over(over_blocks), F.lit(0)).alias(f"{c}_later") for c in "dt"))
     within = Window.partitionBy("block").orderBy(F.desc("n_tokens"))
-    rows = rows.join(F.broadcast(later), "block")  # a row for each BLOCK lengths of the longest text
+    rows = rows.join(later, "block")  # later has a row for each BLOCK lengths of the longest text
     rows = rows.withColumns({"docs_from": F.sum("n_docs").over(within) + F.col("d_later"), "tokens_from": F.sum("tokens").over(within) + F.col("t_later")})
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     shorter = F.lit(total) - F.col("tokens_from")
