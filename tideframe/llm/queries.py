@@ -1,7 +1,7 @@
 """The registered queries of the training-data operators: each applies its operator to its whole table.
 
-SQL cannot express them (tokenizer files, fitted models, alignment, guess costs, file round trips);
-tests/llm holds them against brute-force versions, exact round trips and held-out labels instead.
+SQL cannot express most of them (tokenizer files, fitted models, alignment, guess costs, file round trips, hash rings);
+tests/llm holds those against brute-force versions, exact round trips and held-out labels instead.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import chunks, histogram, mixing, near_copies, packing, quality_fm, quality_rules, secret_scan, token_files, toxicity
-from tideframe.llm.common import documents, labels
+from tideframe.llm import chunks, histogram, mixing, near_copies, oracles, packing, prefix_trie, quality_fm, quality_rules, secret_scan, sharding, spelling, token_files, toxicity
+from tideframe.llm.common import conversations, documents, labels
 
 #: Shares of the languages, the domains that the labelled table knows, in the mix.
 WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -67,5 +67,23 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_fm, op3_toxicity, op4_fingerprints, op5_mixing, op6_near_copies, op7_token_counts, op8_quality_rules, op9_token_files, op10_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(conversations(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_quality_fm, op3_toxicity, op4_fingerprints, op5_mixing, op6_near_copies, op7_token_counts, op8_quality_rules, op9_token_files, op10_secrets,
+        op11_sharding, op12_prefix_trie, op13_spelling,
+    )
+}
+ORACLE_SQL = {"op12_prefix_trie": oracles.OP12, "op13_spelling": oracles.OP13}
