@@ -264,23 +264,6 @@ def test_one_wrong_timestamp(spark):
     assert out.count() == n and out.where("source_frame_index = 49").count() > n - 100
 
 
-def test_sweep(spark):
-    """Forests and window models of every fold, thresholds with their source, metrics raw and smoothed."""
-    rng = random.Random(2)
-    rows = [(f"p{u}", f"s{u}", i, (x := (i // 12 + u) % 2 * 0.6 + rng.random() * 0.5), int(x > 0.55), True, "writing" if x > 0.55 else "not_writing") for u in range(5) for i in range(120)]
-    df = spark.createDataFrame(rows, "participant string, session string, frame_index int, x double, y int, scored boolean, label string")
-    units = folds.unit_table(df)
-    assigned = folds.assigned(df, folds.with_validation(folds.group_k_fold(units, 2), units, 1))
-    a = experiment.forest_rows(assigned, ["x"], "own", trees=5, depth=3)
-    b = experiment.window_rows(assigned, ["x"], "own", 4, 2)
-    assert {r["threshold_source"] for r in a.select("threshold_source").distinct().collect()} <= {"out_of_fold", "val", "fallback"}
-    assert a.where("threshold_source = 'out_of_fold'").count() > 0 and b.where("threshold_source = 'val'").count() > 0
-    assert a.count() == b.count() == len(rows)
-    out = experiment.evaluated(a.unionByName(b)).collect()
-    assert len(out) == 2 * 2 * 2 and {r["variant"] for r in out} == {"raw", "smoothed"}
-    assert min(r["accuracy"] for r in out if r["model"] == "forest" and r["variant"] == "raw") > 0.9
-
-
 def test_statistics():
     assert compare.kendall_tau([1, 2, 3, 4], [1, 2, 3, 4]) == (1.0, pytest.approx(2 / 24))
     assert compare.kendall_tau([1, 2, 3], [3, 2, 1])[0] == -1.0

@@ -559,6 +559,14 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["score", "k", "mean5", "k5", "hand"]
 
 
+@query()
+def model_sweep(spark, sf_dir):
+    """Forests of frames and logistic models of two window sizes over all folds of the resolved scheme: every metric, raw and smoothed."""
+    rows = lagged(spark, sf_dir)
+    scores = experiment.sweep(rows, experiment.fold_table(rows), FEATURES, "events", [(8, 2), (16, 4)], ["score", "k"], trees=10, depth=5)
+    return rounded(experiment.evaluated(scores))
+
+
 @query(sql(TIMELINE, of="SELECT source, round(corr(score, k), 6) AS r, count(*) AS n FROM timeline GROUP BY source"))
 def signal_correlation(spark, sf_dir):
     return rounded(timeline(spark, sf_dir).groupBy("source").agg(F.corr("score", F.col("k").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")))
