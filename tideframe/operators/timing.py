@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, clip, finite, names, over
 
 
@@ -43,13 +44,25 @@ def resample(df: DataFrame, fps: float, keys: Key = "session", order: str = "fra
     Resampled ones get new frame numbers and tick timestamps (rounded half to even); source_<order> keeps the old number.
     Of rows with one timestamp the last is held. Each row yields the ticks until the next row: no range join.
     """
-    k, w = names(keys), over(keys, order)
+    k = names(keys)
+    rows = df.join(clocks(df, fps, k, order, ms, tolerance), k)
+    rows = rows.withColumn("_next", F.lead(F.col(ms).cast("double")).over(over(k, order)))
+    return ticks(rows, fps, df.columns, order, ms)
+
+
+def clocks(df: DataFrame, fps: float, keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms", tolerance: float = 0.05, rates: DataFrame | None = None) -> DataFrame:
+    """keys, _t0 (a session's first timestamp), _same (whether it stays as it is). rates: session_fps() if known."""
+    k = names(keys)
+    rates = session_fps(df, k, order, ms) if rates is None else rates
+    whole = df.groupBy(*k).agg(F.min(F.col(ms).cast("double")).alias("_t0"), F.max(F.col(ms).isNull().cast("int")).alias("_gap"))
+    same = F.col("fps").isNull() | (F.col("_gap") == 1) | (F.abs(F.col("fps") - fps) / fps <= tolerance)
+    return ranks.same_keys(rates, whole, k).select(*k, "_t0", same.alias("_same"))
+
+
+def ticks(rows: DataFrame, fps: float, columns: list[str], order: str = "frame_index", ms: str = "timestamp_ms") -> DataFrame:
+    """The ticks that each row holds, up to the next row's timestamp (_next), on the clock that begins at _t0; rows that are _same as they are."""
     step = 1000.0 / fps
     t = F.col(ms).cast("double")
-    info = session_fps(df, k, order, ms).join(df.groupBy(*k).agg(F.min(t).alias("_t0"), F.max(F.col(ms).isNull().cast("int")).alias("_gap")), k)
-    same = F.col("fps").isNull() | (F.col("_gap") == 1) | (F.abs(F.col("fps") - fps) / fps <= tolerance)
-    rows = df.join(info.select(*k, "_t0", same.alias("_same")), k)
-    rows = rows.withColumn("_next", F.lead(t).over(w))
     first = F.ceil((t - F.col("_t0")) / step)
     last = F.when(F.col("_next").isNotNull(), F.ceil((F.col("_next") - F.col("_t0")) / step) - 1).otherwise(F.floor((t + 1e-6 - F.col("_t0")) / step))
     # a gap's ticks in stretches, and each stretch's ticks: a wrong timestamp makes many rows but no huge array
@@ -59,7 +72,7 @@ def resample(df: DataFrame, fps: float, keys: Key = "session", order: str = "fra
     rows = rows.withColumn("_tick", F.explode(within)).drop("_last", "_stretch")
     moved = F.col("_tick").isNotNull()
     return rows.select(
-        *(c for c in df.columns if c not in (order, ms)),
+        *(c for c in columns if c not in (order, ms)),
         F.when(moved, F.col("_tick")).otherwise(F.col(order)).cast("long").alias(order),
         F.when(moved, F.bround(F.col("_t0") + F.col("_tick") * step)).otherwise(t).cast("long").alias(ms),
         F.col(order).alias(f"source_{order}"),

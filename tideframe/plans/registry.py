@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideframe.functions import blocks
 from tideframe.functions.expr import over
-from tideframe.operators import clean, compare, events, experiment, features, folds, metrics, models, runs, smoothing, summary, timing, windows
+from tideframe.operators import clean, compare, events, experiment, features, folds, long, metrics, models, runs, smoothing, summary, timing, windows
 from tideframe.plans.views import POSES, TIMELINE, poses, table, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,8 +105,8 @@ def interior_pauses(spark, sf_dir):
 
 @query(sql(TIMELINE, of="SELECT source, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY session, frame_index) - 1) / 500) AS BIGINT) AS chunk, session, frame_index FROM timeline"))
 def chunked_sessions(spark, sf_dir):
-    rows = timeline(spark, sf_dir).select("source", "session", "frame_index", F.struct("session", "frame_index").alias("at"))
-    return runs.chunked(rows, 500, "source", "at").select("source", "chunk", "session", "frame_index")
+    rows = blocks.dealt(timeline(spark, sf_dir).select("source", "session", "frame_index"), "source", ["session", "frame_index"])
+    return long.chunked(rows, 500, "source").select("source", "chunk", "session", "frame_index")
 
 
 _G = []
@@ -572,4 +573,4 @@ def signal_correlation(spark, sf_dir):
     return rounded(timeline(spark, sf_dir).groupBy("source").agg(F.corr("score", F.col("k").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")))
 
 
-from tideframe.plans import further  # noqa: E402, F401  adds its queries
+from tideframe.plans import further, sessions  # noqa: E402, F401  add their queries
