@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from tests.llm import naive
 from tests.llm.helpers import EDGES, corpus, frame
-from tideframe.llm import prefix_trie, queries, sharding, spelling
+from tideframe.llm import prefix_trie, queries, secret_scan, sharding, spelling
 from tideframe.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -258,3 +258,88 @@ def test_query_equals_its_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
     say = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert say(got.collect()) == say(want.fetchall())
+
+
+# -- secrets: whole values
+
+
+WORDS_OF_CONTEXT = ["password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "privatekey", "private-key", "credentials", "credential", "auth", "bearer"]
+
+
+def guessed(text):
+    """Spans of guessed values by trying every position, character by character."""
+    from tideframe.llm.secret_scan import GUESSES, guess_cost
+
+    def at(i):
+        for w in WORDS_OF_CONTEXT:
+            if text[i : i + len(w)].lower() != w:
+                continue
+            j = i + len(w)
+            ways = []
+            for q in (1, 0):
+                if q and text[j : j + 1] not in tuple("\"'`"):
+                    continue
+                k = j + q
+                n = len(text[k:]) - len(text[k:].lstrip(" "))
+                ways += [k + m + len(sep) for m in range(n, -1, -1) for sep in ("=>", ":=", ":", "=", " is ") if text.startswith(sep, k + m) or (sep == " is " and text[k + m : k + m + 4].lower() == sep)]
+            for k in ways:
+                k += len(text[k:]) - len(text[k:].lstrip(" "))
+                if (got := value(k)) is not None:
+                    return got
+            if w == "bearer" and text[j : j + 1] == " ":
+                k = j + len(text[j:]) - len(text[j:].lstrip(" "))
+                if (got := value(k)) is not None:
+                    return got
+        return None
+
+    def value(k):
+        q, j = text[k : k + 1], k + 1
+        if q in tuple("\"'`"):
+            while j < len(text) and text[j] not in "\r\n" + q:
+                j += 2 if text[j] == "\\" and j + 1 < len(text) and text[j + 1] != "\n" else 1
+            if k + 1 < j < len(text) and text[j] == q:
+                return k + 1, j, j + 1
+        j = k
+        while j < len(text) and not text[j].isspace():
+            j += 1
+        if j == k:
+            return None
+        whole = text[k:j]
+        kept = whole.rstrip(".,;:!?)]}\"'`")
+        kept = kept.lstrip("\"'`")
+        a = text.index(kept, k)
+        return a, a + len(kept), j
+
+    out, i = [], 0
+    while i < len(text):
+        got = at(i)
+        if got is None:
+            i += 1
+            continue
+        a, b, i = got
+        if b - a >= 6 and guess_cost(text[a:b]) >= GUESSES:
+            out.append((a, b))
+    return out
+
+
+VALUE = st.text(alphabet="abXY79#;,'\"éß日!", min_size=1, max_size=16)
+PIECE = st.one_of(
+    st.sampled_from(["the", "author", "said", "\n", "is", "my auth", "12:30", "key"]),
+    st.builds(lambda w, s, q, v: w + s + q + v + q, st.sampled_from([*WORDS_OF_CONTEXT, "PassWord", "Bearer"]), st.sampled_from([": ", "=", " => ", " is ", ":=", '": ', " ", "  =  "]), st.sampled_from(["", "", '"', "'", "`"]), VALUE),
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(pieces=st.lists(PIECE, max_size=6))
+def test_guessed_spans_of_whole_texts(pieces):
+    text = " ".join(pieces)
+    assert [(a, b) for a, k, b in secret_scan.spans(text) if k == "guess"] == guessed(text)
+
+
+@pytest.mark.parametrize("text,secret", [
+    ('pwd: "Tz8#kQ;9vLm2!xW" ok', "Tz8#kQ;9vLm2!xW"), ("passphrase='kQ9,vLm2!xWz7Rt'", "kQ9,vLm2!xWz7Rt"), ("pwd: Ünïcødé#8xQ!z9Lm2.", "Ünïcødé#8xQ!z9Lm2"),
+    ("token => x9K,2;v8Qz!p, and", "x9K,2;v8Qz!p"), ('{"password": "a\\"b8Q#zz!K2", "n": 1}', 'a\\"b8Q#zz!K2'), ('secret: "open#8xQ!z9Lm2 end', "open#8xQ!z9Lm2"),
+])
+def test_no_tail_of_a_secret_stays(spark, text, secret):
+    clean = secret_scan.redact(frame(spark, [(1, text, "en", "s")])).first()["text"]
+    assert text.index(secret) >= 0 and not any(secret[i : i + 4] in clean for i in range(len(secret) - 3))

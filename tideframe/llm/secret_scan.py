@@ -32,8 +32,15 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: The context of a guessed value: a credential word, a separator (`Bearer` of a header needs none), perhaps a quote, then no white space.
-CONTEXT = re.compile(r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)(?:["']?[\x20]*(?:[:=]|\x20is\x20|=>)[\x20]*["']?|(?<=bearer)\x20+)([!-&(-+\--:<-~]{6,})""", re.I | re.A)
+#: The context of a guessed value: a credential word and a separator (`Bearer` of a header needs none). The value runs to its closing quote on
+#: the same line (a backslash takes the next character along), or else to the next white space, whatever its characters.
+CONTEXT = re.compile(
+    r"""(?:password|passwd|passphrase|passcode|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth|bearer)"""
+    r"""(?:["'`]?\x20*(?:=>|:=|[:=]|\x20is\x20)\x20*|(?<=bearer)\x20+)(?:(["'`])((?:\\.|(?!\1)[^\\\r\n])+)\1|(\S+))""",
+    re.I,
+)
+#: What an unquoted value doesn't end with.
+_AFTER = ".,;:!?)]}\"'`"
 _CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 # Frequent words in passwords, most frequent first.
@@ -67,9 +74,10 @@ def _longest() -> int:
 
 
 def _character_guesses(text: str) -> float:
-    """log10 of the guesses for one character by brute force: the size of the classes that the value uses."""
-    size = 26 * bool(re.search("[a-z]", text)) + 26 * bool(re.search("[A-Z]", text)) + 10 * bool(re.search("[0-9]", text)) + 33 * bool(re.search("[^a-zA-Z0-9]", text))
-    return math.log10(max(size, 10))
+    """log10 of the guesses for one character by brute force: the size of the classes that the value uses; beyond ASCII a class is 128 code points."""
+    size = 26 * bool(re.search("[a-z]", text)) + 26 * bool(re.search("[A-Z]", text)) + 10 * bool(re.search("[0-9]", text)) + 33 * bool(re.search("[\x00-\x7f](?<![a-zA-Z0-9])", text))
+    beyond = {ord(c) >> 7 for c in set(text) if c > "\x7f"}
+    return math.log10(max(size + 128 * len(beyond), 10))
 
 
 def _near(a: str, b: str) -> bool:
@@ -132,9 +140,10 @@ def spans(text: str, guesses: float = GUESSES) -> list[tuple[int, str, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in _CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}\"'")
+            value = m[2] or m[3].rstrip(_AFTER).lstrip("\"'`")
+            start = m.start(2) if m[2] else text.index(value, m.start(3))
             if len(value) >= 6 and guess_cost(value) >= guesses:
-                found.append((m.start(1), 3, m.start(1) + len(value)))
+                found.append((start, 3, start + len(value)))
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
