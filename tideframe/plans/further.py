@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.functions.expr import over
-from tideframe.operators import clean, compare, events, features, folds, metrics, models, runs, smoothing, summary, timing, windows
+from tideframe.operators import clean, compare, complement, events, features, folds, metrics, models, runs, smoothing, summary, timing, windows
 from tideframe.plans import registry as r
 from tideframe.plans.registry import query, rounded, sql
 from tideframe.plans.views import POSES, TIMELINE, poses, table, timeline
@@ -345,7 +345,7 @@ def sliced_summary(spark, sf_dir):
 @query(sql(TIMELINE, r.FOLDS_SQL, r.VAL, "rc AS (SELECT fold, split, avg(CASE WHEN scored THEN y END) AS prior FROM vf JOIN timeline ON unit = CAST(participant AS VARCHAR) GROUP BY fold, split)", "g AS (SELECT a.fold, abs(a.prior - b.prior) AS gap FROM rc a JOIN rc b ON a.fold = b.fold WHERE a.split = 'train' AND b.split = 'val')",
     of="SELECT round(max(gap), 6) AS max_gap, round(quantile_cont(gap, 0.5), 6) AS median_gap FROM g"))
 def prior_gap(spark, sf_dir):
-    return rounded(summary.prior_gap(folds.fold_record(r.assigned_rows(spark, sf_dir))))
+    return rounded(summary.prior_gap(complement.fold_record(timeline(spark, sf_dir), r.held(spark, sf_dir))))
 
 
 @query(sql(TIMELINE, "s AS (SELECT source, session, count(*) AS rows, max(timestamp_ms) - min(timestamp_ms) AS ms FROM timeline GROUP BY ALL)", of="SELECT source, min(rows) AS rows_min, quantile_cont(rows, 0.5)::DOUBLE AS rows_median, max(rows) AS rows_max, min(ms) AS ms_min, quantile_cont(ms, 0.5)::DOUBLE AS ms_median, max(ms) AS ms_max FROM s GROUP BY source"))

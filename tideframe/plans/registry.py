@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tideframe.functions import blocks
 from tideframe.functions.expr import over
-from tideframe.operators import clean, compare, events, experiment, features, folds, long, metrics, models, runs, smoothing, summary, timing, windows
+from tideframe.functions.staging import staged
+from tideframe.operators import clean, compare, complement, events, experiment, features, folds, long, metrics, models, runs, smoothing, summary, timing, windows
 from tideframe.plans.views import POSES, TIMELINE, poses, table, timeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,21 +424,25 @@ def val_selection(spark, sf_dir):
     return lopo_with_validation(spark, sf_dir)
 
 
-def assigned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.assigned(timeline(spark, sf_dir), lopo_with_validation(spark, sf_dir))
+def held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fold holds back; the rest trains."""
+    return staged(lopo_with_validation(spark, sf_dir).where("split != 'train'"), "held")
 
 
 @query(sql(TIMELINE, FOLDS_SQL, VAL, of="SELECT fold, split, count(*) AS rows, round(avg(CASE WHEN scored THEN y END), 6) AS prior, round(avg(hand_detected), 6) AS detection_rate, count(DISTINCT participant) AS n_units FROM vf JOIN timeline ON unit = CAST(participant AS VARCHAR) GROUP BY fold, split"))
 def fold_priors(spark, sf_dir):
-    return rounded(folds.fold_record(assigned_rows(spark, sf_dir)).withColumn("n_units", F.size("units").cast("long")).drop("units"))
+    return rounded(complement.fold_record(timeline(spark, sf_dir), held(spark, sf_dir)))
 
 
 @query(sql(TIMELINE, FOLDS_SQL, "x AS (SELECT fold, participant, CASE WHEN split = 'train' AND frame_index < 5 AND fold_no % 2 = 0 THEN 'val' ELSE split END AS split FROM lo JOIN timeline ON unit = CAST(participant AS VARCHAR))",
     "g AS (SELECT fold, participant, count(DISTINCT split) AS k, count(*) AS n FROM x GROUP BY fold, participant)", of="SELECT fold, count(*) FILTER (WHERE k > 1) AS n_leaking, round(sum(CASE WHEN k > 1 THEN n ELSE 0 END) / sum(n), 6) AS share FROM g GROUP BY fold"))
 def leakage_audit(spark, sf_dir):
-    rows = folds.assigned(timeline(spark, sf_dir), folds.leave_one_out(units(spark, sf_dir)))
-    leaky = rows.withColumn("split", F.when((F.col("split") == "train") & (F.col("frame_index") < 5) & (F.col("fold_no") % 2 == 0), "val").otherwise(F.col("split")))
-    return rounded(folds.leakage(leaky).select("fold", F.size("leaking").cast("long").alias("n_leaking"), "share"))
+    """Every second fold takes the first rows of training units for val: all units with later rows too leak, but the one that it tests."""
+    early = (F.col("frame_index") < 5).alias("early")
+    parts = timeline(spark, sf_dir).groupBy(F.col("participant").cast("string").alias("unit"), early.cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    rules = spark.createDataFrame([(0, 0, "train"), (0, 1, "val"), (1, 0, "train"), (1, 1, "train")], "rule int, part int, split string")
+    tests = folds.held_one_out(units(spark, sf_dir)).withColumn("rule", F.col("fold_no") % 2)
+    return rounded(complement.leakage(parts, rules, tests))
 
 
 # -- cleaning
@@ -548,8 +553,9 @@ def threshold_summary(spark, sf_dir):
 @query()
 def rule_experiment(spark, sf_dir):
     """Two rule detectors over participant folds: frame, event, pause and segment metrics, raw and smoothed."""
-    rows = experiment.rule_rows(assigned_rows(spark, sf_dir).withColumn("k", F.col("k").cast("double")), {"value_rule": "score", "k_rule": "k"}, "events")
-    return rounded(experiment.evaluated(rows))
+    rows = timeline(spark, sf_dir)
+    back = staged(experiment.fold_table(rows).where("split != 'train'"), "held")
+    return rounded(experiment.evaluated(complement.rule_rows(rows, back, {"value_rule": "score", "k_rule": "k"}, "events")))
 
 
 def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
