@@ -343,3 +343,25 @@ def test_guessed_spans_of_whole_texts(pieces):
 def test_no_tail_of_a_secret_stays(spark, text, secret):
     clean = secret_scan.redact(frame(spark, [(1, text, "en", "s")])).first()["text"]
     assert text.index(secret) >= 0 and not any(secret[i : i + 4] in clean for i in range(len(secret) - 3))
+
+
+# -- near-copies at the limit
+
+
+@pytest.mark.parametrize("texts,passage,share", [(250, 0, 0.1), (250, 0, 0.2), (250, 50, 0.15), (250, 70, 0.2), (1000, 70, 0.15)])
+def test_recall_of_near_copies(spark, texts, passage, share):
+    """Of the copies that align, nine in ten are joined, in small buckets and where all texts share a passage; others never are."""
+    from tideframe.llm import near_copies
+    from tideframe.llm.quality_rules import word_hashes
+
+    rng = random.Random(texts + passage)
+    words = [f"w{i}" for i in range(3000)]
+    common = [rng.choice(words) for _ in range(passage)]
+    base = [common + [rng.choice(words) for _ in range(100 - passage)] for _ in range(texts)]
+    copies = [[rng.choice(words) + "x" if rng.random() < share else w for w in b] for b in base[:150]]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(10**6 + i, " ".join(c)) for i, c in enumerate(copies)]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    coded = lambda ws: word_hashes([w.encode() for w in ws]).astype(np.uint32)
+    aligned = [i for i, c in enumerate(copies) if near_copies.aligned(coded(base[i]), coded(c))]
+    assert len(aligned) > 50 and sum(got[i] == got[10**6 + i] for i in aligned) >= 0.9 * len(aligned)
+    assert all(got[i] == i for i in range(texts))
