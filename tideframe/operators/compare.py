@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,48 +61,69 @@ def kendall(df: DataFrame, config: str = "config", corpus: str = "dataset", scor
 
     p: exact for up to 33 untied pairs of scores or for almost ordered ones, else normal.
     """
-    rows = df.where(F.col(score).isNotNull()).select(F.col(corpus).alias("d"), F.col(config).alias("c"), F.col(score).cast("double").alias("s"))
+    rows = df.where(F.col(score).isNotNull()).select(F.col(corpus).cast("string").alias("d"), F.col(config).alias("c"), F.col(score).cast("double").alias("s"))
     a, b = (rows.select(F.col("d").alias(f"corpus_{x}"), "c", F.col("s").alias(f"s_{x}")) for x in "ab")
-    shared = a.join(b, "c").where("corpus_a < corpus_b")
+    k = ["corpus_a", "corpus_b"]
+    shared = a.join(b, "c").where("corpus_a < corpus_b").select(*k, "s_a", "s_b")
+    counts = rank_counts(shared, "s_a", "s_b", k)
 
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["s_a"].tolist(), group["s_b"].tolist()
-        tau, p = kendall_tau(x, y)
-        return pd.DataFrame({"corpus_a": group["corpus_a"][:1], "corpus_b": group["corpus_b"][:1], "n": len(x), "tau": tau, "p": p})
+    @F.pandas_udf("double")
+    def p_of(n: pd.Series, s: pd.Series, discordant: pd.Series, a1: pd.Series, a2: pd.Series, av: pd.Series, b1: pd.Series, b2: pd.Series, bv: pd.Series) -> pd.Series:
+        columns = (c.tolist() for c in (n, s, discordant, a1, a2, av, b1, b2, bv))
+        return pd.Series([kendall_p(n, s, d, (a1, b1), (a2, b2), (av, bv)) for n, s, d, a1, a2, av, b1, b2, bv in zip(*columns, strict=True)], dtype="float64")
 
-    big = shared.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("corpus_a", "corpus_b"))).where("n >= 3").drop("n")
-    out = big.groupBy("corpus_a", "corpus_b").applyInPandas(of, "corpus_a string, corpus_b string, n long, tau double, p double")
+    root = F.sqrt((F.col("pairs") - F.col("a1") / 2) * (F.col("pairs") - F.col("b1") / 2))
+    out = counts.where("n >= 3").withColumns({"tau": F.when(root > 0, F.col("s") / root), "p": p_of("n", "s", "discordant", "a1", "a2", "av", "b1", "b2", "bv")})
+    out = out.select(*k, "n", "tau", F.when(F.col("tau").isNotNull() & ~F.isnan("p"), F.col("p")).alias("p"))
     return out.withColumn("verdict", F.when(F.col("tau") > 0.4, "agree").when(F.abs("tau") <= 0.4, "unrelated").otherwise("inverted"))
 
 
-def _sign(x: float) -> int:
-    return (x > 0) - (x < 0)
-
+def rank_counts(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
+    """keys, n, pairs, discordant, s (concordant less discordant pairs), and of the ties of x (a) and y (b), with t rows each, the sums
+    a1 of t (t - 1), a2 of t (t - 1) (t - 2), av of t (t - 1) (2 t + 5).
 
-def kendall_tau(x: list[float], y: list[float]) -> tuple[float, float]:
-    n = len(x)
-    pairs = [(_sign(x[i] - x[j]), _sign(y[i] - y[j])) for i in range(n) for j in range(i)]
-    s = sum(a * b for a, b in pairs)
-    tied = [sum(1 for p in pairs if not p[k]) for k in (0, 1)]
-    root = math.sqrt((len(pairs) - tied[0]) * (len(pairs) - tied[1]))
-    if not root:
-        return math.nan, math.nan
-    discordant = (len(pairs) - s) // 2
-    if not any(tied) and (n <= 33 or min(discordant, len(pairs) - discordant) <= 1):
-        ways = [1]  # permutations of i numbers by their inversions
+    Two rows are ordered differently by y at exactly one bit of its ranks, the first where these differ: so discordant pairs are counted bit by bit
+    among the rows whose higher bits are equal, in the order of x. That is a row for each bit, never for each pair.
+    """
+    w = Window.partitionBy(*keys)
+    rows = df.withColumns({"_x": F.dense_rank().over(w.orderBy(x)), "_y": F.dense_rank().over(w.orderBy(y)) - 1})
+    rows = rows.withColumn("_bits", F.greatest(F.ceil(F.log2(F.max("_y").over(w) + F.lit(1.5))).cast("int"), F.lit(1)))
+    by_bit = rows.select(*keys, "_x", "_y", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)).alias("_bit"))
+    one = F.expr("getbit(_y, _bit)").cast("long")
+    by_bit = by_bit.select(*keys, "_x", "_bit", F.expr("shiftright(_y, _bit + 1)").alias("_high"), one.alias("_one"))
+    per = by_bit.groupBy(*keys, "_bit", "_high", "_x").agg(F.sum("_one").alias("ones"), F.sum(1 - F.col("_one")).alias("zeros"))
+    before = Window.partitionBy(*keys, "_bit", "_high").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    discordant = per.withColumn("_d", F.col("zeros") * F.coalesce(F.sum("ones").over(before), F.lit(0))).groupBy(*keys).agg(F.sum("_d").alias("discordant"))
+
+    def ties(by: list[str], name: str) -> DataFrame:
+        t = F.col("t")
+        per = rows.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("t"))
+        return per.groupBy(*keys).agg(F.sum(t * (t - 1)).alias(f"{name}1"), F.sum(t * (t - 1) * (t - 2)).alias(f"{name}2"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{name}v"), F.sum("t").alias(f"n_{name}"))
+
+    out = discordant.join(ties(["_x"], "a"), keys).join(ties(["_y"], "b"), keys).join(ties(["_x", "_y"], "c"), keys)
+    n = F.col("n_a")
+    pairs = (n * (n - 1) / 2).cast("long")
+    s = (pairs - (F.col("a1") / 2) - (F.col("b1") / 2) + (F.col("c1") / 2)).cast("long") - 2 * F.col("discordant")
+    return out.select(*keys, n.alias("n"), pairs.alias("pairs"), "discordant", s.alias("s"), "a1", "a2", "av", "b1", "b2", "bv")
+
+
+def kendall_p(n: int, s: int, discordant: int, ties1: tuple, ties2: tuple, ties_v: tuple) -> float:
+    """Two-sided p of the difference s of concordant and discordant pairs: exact without ties for n up to 33 or for almost ordered rows, else normal.
+
+    The exact count of permutations by inversions goes as far as it is needed.
+    """
+    pairs = n * (n - 1) // 2
+    c = min(discordant, pairs - discordant)
+    if not any(ties1) and (n <= 33 or c <= 1):
+        if 2 * c == pairs:
+            return 1.0
+        ways = [1]
         for i in range(2, n + 1):
-            ways = [sum(ways[max(0, k - i + 1) : k + 1]) for k in range(i * (i - 1) // 2 + 1)]
-        c = min(discordant, len(pairs) - discordant)
-        p = 1.0 if 2 * c == len(pairs) else min(1.0, 2 * sum(ways[: c + 1]) / math.factorial(n))
-        return s / root, p
-    groups = [[v.count(u) for u in set(v)] for v in (x, y)]
-    total = lambda f: [sum(f(t) for t in g) for g in groups]
-    v0 = n * (n - 1) * (2 * n + 5)
-    vt, vu = total(lambda t: t * (t - 1) * (2 * t + 5))
-    a1, b1 = total(lambda t: t * (t - 1))
-    a2, b2 = total(lambda t: t * (t - 1) * (t - 2))
-    var = (v0 - vt - vu) / 18 + a1 * b1 / (2 * n * (n - 1)) + (a2 * b2 / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0)
-    return s / root, math.erfc(abs(s) / math.sqrt(2 * var)) if var > 0 else math.nan
+            ways = [sum(ways[max(0, k - i + 1) : k + 1]) for k in range(min(c, i * (i - 1) // 2) + 1)]
+        return min(1.0, 2 * float(Fraction(sum(ways), math.factorial(n))))
+    (a1, b1), (a2, b2), (vt, vu) = ties1, ties2, ties_v
+    var = (n * (n - 1) * (2 * n + 5) - vt - vu) / 18 + a1 * b1 / (2 * n * (n - 1)) + (a2 * b2 / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0)
+    return math.erfc(abs(s) / math.sqrt(2 * var)) if var > 0 else math.nan
 
 
 def average_ranks(df: DataFrame, by: Key, value: Column, name: str) -> DataFrame:

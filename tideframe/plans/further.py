@@ -410,7 +410,7 @@ def merged_runs(spark, sf_dir):
 
 # -- statistics
 
-_PAIRS = """s AS (SELECT dataset, model, avg(f1) AS f1 FROM rs GROUP BY ALL),
+_PAIRS = """s AS (SELECT dataset, model, round(avg(f1), 9) AS f1 FROM rs GROUP BY ALL),
 pq AS (SELECT a.dataset AS corpus_a, b.dataset AS corpus_b, a.model AS m1, x.model AS m2, sign(x.f1 - a.f1) AS sa, sign(y.f1 - b.f1) AS sb
   FROM s a JOIN s b ON a.model = b.model AND a.dataset < b.dataset JOIN s x ON x.dataset = a.dataset AND x.model > a.model JOIN s y ON y.dataset = b.dataset AND y.model = x.model),
 ct AS (SELECT corpus_a, corpus_b, count(*) AS pairs, sum(sa * sb) AS s, sum(sa * sa) AS ta, sum(sb * sb) AS tb, CAST(round((1 + sqrt(1 + 8 * count(*))) / 2) AS BIGINT) AS n FROM pq GROUP BY ALL)"""
@@ -419,18 +419,31 @@ _WAYS = """w1 AS (SELECT 1 AS n, 0 AS k, 1 AS ways), w2 AS (SELECT k + j AS k, s
 w3 AS (SELECT k + j AS k, sum(ways) AS ways FROM w2, (SELECT unnest(range(0, 3)) AS j) GROUP BY 1), w4 AS (SELECT k + j AS k, sum(ways) AS ways FROM w3, (SELECT unnest(range(0, 4)) AS j) GROUP BY 1)"""
 
 
-@query(sql(TIMELINE, r.RESULTS, _PAIRS, _WAYS, "z AS (SELECT *, s / sqrt(ta * tb) AS tau, least((pairs - s) / 2, pairs - (pairs - s) / 2) AS c FROM ct)",
-    of="""SELECT CAST(corpus_a AS VARCHAR) AS corpus_a, CAST(corpus_b AS VARCHAR) AS corpus_b, n, round(tau, 6) AS tau, CASE WHEN tau > 0.4 THEN 'agree' WHEN abs(tau) <= 0.4 THEN 'unrelated' ELSE 'inverted' END AS verdict,
-CASE WHEN ta = pairs AND tb = pairs THEN round(CASE WHEN 2 * c = pairs THEN 1.0 ELSE least(1.0, 2.0 * (SELECT sum(ways) FROM w4 WHERE k <= c) / 24) END, 6) END AS p FROM z"""))
+_ERFC = "(1 - 2 / sqrt(pi()) * (SELECT sum(power(-1, k) * power(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) FROM (SELECT unnest(range(0, 100)) AS k)))"
+_TIES = """tg AS (SELECT dataset, count(*) AS t FROM s GROUP BY dataset, f1),
+ti AS (SELECT dataset, sum(t * (t - 1)) AS t1, sum(t * (t - 1) * (t - 2)) AS t2, sum(t * (t - 1) * (2 * t + 5)) AS tv FROM tg GROUP BY dataset),
+z AS (SELECT ct.*, s / sqrt(ta * tb) AS tau, least((pairs - s) / 2, pairs - (pairs - s) / 2) AS c,
+  (n * (n - 1) * (2 * n + 5) - a.tv - b.tv) / 18.0 + a.t1 * b.t1 / (2.0 * n * (n - 1)) + a.t2 * b.t2 / (9.0 * n * (n - 1) * (n - 2)) AS var
+  FROM ct JOIN ti a ON a.dataset = corpus_a JOIN ti b ON b.dataset = corpus_b),
+zz AS (SELECT *, abs(s) / sqrt(2 * var) AS z FROM z)"""
+
+
+@query(sql(TIMELINE, r.RESULTS, _PAIRS, _WAYS, _TIES,
+    of=f"""SELECT CAST(corpus_a AS VARCHAR) AS corpus_a, CAST(corpus_b AS VARCHAR) AS corpus_b, n, round(tau, 6) AS tau, CASE WHEN tau > 0.4 THEN 'agree' WHEN abs(tau) <= 0.4 THEN 'unrelated' ELSE 'inverted' END AS verdict,
+round(CASE WHEN ta = pairs AND tb = pairs THEN CASE WHEN 2 * c = pairs THEN 1.0 ELSE least(1.0, 2.0 * (SELECT sum(ways) FROM w4 WHERE k <= c) / 24) END ELSE {_ERFC} END, 6) AS p FROM zz"""))
 def kendall_tau(spark, sf_dir):
-    """tau, exact p and verdict; the SQL counts the permutations of the four detectors. Where scores tie, p is normal and left out of this query."""
-    s = r.results(spark, sf_dir).groupBy(F.col("dataset").cast("string").alias("dataset"), F.col("model").alias("config")).agg(F.avg("f1").alias("f1"))
-    tied = s.groupBy("dataset").agg((F.count_distinct("f1") < F.count("f1")).alias("tied"))
-    out = compare.kendall(s)
-    for c in ("a", "b"):
-        out = out.join(tied.select(F.col("dataset").alias(f"corpus_{c}"), F.col("tied").alias(f"tied_{c}")), f"corpus_{c}")
-    out = out.withColumn("p", F.when(~(F.col("tied_a") | F.col("tied_b")), F.col("p")))
-    return rounded(out.select("corpus_a", "corpus_b", "n", "tau", "verdict", "p"))
+    """tau, p and verdict; the SQL counts the permutations of the four detectors, and sums the series of the error function where scores tie."""
+    s = r.results(spark, sf_dir).groupBy(F.col("dataset").cast("string").alias("dataset"), F.col("model").alias("config")).agg(F.round(F.avg("f1"), 9).alias("f1"))
+    return rounded(compare.kendall(s).select("corpus_a", "corpus_b", "n", "tau", "verdict", "p"))
+
+
+@query(sql(TIMELINE, r.RESULTS, _PAIRS, _TIES, of="SELECT CAST(corpus_a AS VARCHAR) AS corpus_a, CAST(corpus_b AS VARCHAR) AS corpus_b, CAST(s AS BIGINT) AS s, CAST(pairs - ta AS BIGINT) AS tied_a, CAST(pairs - tb AS BIGINT) AS tied_b FROM z"))
+def rank_counts(spark, sf_dir):
+    """Concordant less discordant pairs of each two corpora, and tied ones, by counted inversions."""
+    s = r.results(spark, sf_dir).groupBy(F.col("dataset").cast("string").alias("dataset"), "model").agg(F.round(F.avg("f1"), 9).alias("f1"))
+    a, b = (s.select(F.col("dataset").alias(f"corpus_{x}"), "model", F.col("f1").alias(f"f1_{x}")) for x in "ab")
+    out = compare.rank_counts(a.join(b, "model").where("corpus_a < corpus_b"), "f1_a", "f1_b", ["corpus_a", "corpus_b"])
+    return out.select("corpus_a", "corpus_b", "s", (F.col("a1") / 2).cast("long").alias("tied_a"), (F.col("b1") / 2).cast("long").alias("tied_b"))
 
 
 @query(sql(TIMELINE, r.RESULTS, "v AS (SELECT dataset, fold, model, round(f1, 9) AS f FROM rs)", "r AS (SELECT *, rank() OVER (PARTITION BY dataset, fold ORDER BY f) + (count(*) OVER (PARTITION BY dataset, fold, f) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY dataset, fold, f) AS t FROM v)",
@@ -445,7 +458,6 @@ def friedman(spark, sf_dir):
 
 _WAYS_OF_RANKS = """wy AS (SELECT 0::BIGINT AS n, [1::HUGEINT] AS ways UNION ALL
   SELECT n + 1, list_transform(range(len(ways) + n + 1), lambda k: coalesce(ways[k + 1], 0) + CASE WHEN k > n THEN coalesce(ways[k - n], 0) ELSE 0 END) FROM wy WHERE n < 50)"""
-_ERFC = "(1 - 2 / sqrt(pi()) * (SELECT sum(power(-1, k) * power(z, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1))) FROM (SELECT unnest(range(0, 100)) AS k)))"
 
 
 @query(recursive(TIMELINE, r.RESULTS, _WAYS_OF_RANKS, "v AS (SELECT dataset, fold, model, round(f1, 9) AS f FROM rs)", "mn AS (SELECT dataset, model, avg(f) AS m FROM v GROUP BY ALL)",
