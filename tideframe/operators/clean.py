@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideframe.functions import ranks
 from tideframe.functions.expr import Key, names, scored, truthy
 
 VOCABULARY = ("writing", "not_writing", "unsure")
@@ -73,6 +74,15 @@ def correct_aspect(df: DataFrame, x_columns: list[str], require: bool = True, ha
     return df.withColumns({c: F.col(c) * factor for c in x_columns})
 
 
+def listed(df: DataFrame, value: str, most: int, group: Key = (), name: str = "first") -> DataFrame:
+    """group, <name>: the first `most` distinct values in their order, and n_<name>, how many there are. For display: no list is longer than `most`."""
+    g = names(group)
+    distinct = df.where(F.col(value).isNotNull()).select(*g, value).distinct()
+    shown = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy(*g).orderBy(value))).where(F.col("_rank") <= most)
+    lists = shown.groupBy(*g).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return ranks.same_keys(distinct.groupBy(*g).agg(F.count(F.lit(1)).alias(f"n_{name}")), lists, g)
+
+
 def namespaced(df: DataFrame, source: str = "source", participant: str = "participant", also: tuple[str, ...] = ("session",)) -> DataFrame:
     """`source:id` in place of every id where any participant occurs in several sources; else unchanged."""
     shared = not df.groupBy(participant).agg(F.count_distinct(source).alias("n")).where("n > 1").isEmpty()

@@ -52,6 +52,11 @@ def drop_undetected(df: DataFrame, hand: str = "hand_detected") -> DataFrame:
     return df.where(F.col(hand) == 1)
 
 
+def dropped(df: DataFrame, keys: Key = (), hand: str = "hand_detected") -> DataFrame:
+    """keys, rows, dropped: how many rows drop_undetected leaves out."""
+    return df.groupBy(*([keys] if isinstance(keys, str) else keys)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.coalesce(F.col(hand) == 1, F.lit(False))).alias("dropped"))
+
+
 def _distance(i: int, j: int) -> Column:
     return F.sqrt(F.pow(F.col(f"l{i}_x") - F.col(f"l{j}_x"), 2) + F.pow(F.col(f"l{i}_y") - F.col(f"l{j}_y"), 2))
 
@@ -60,8 +65,8 @@ def hand_scale(df: DataFrame, hand: str = "hand_detected", a: int = 9, b: int =
     """df with the distance of two points; rows without a hand, or with none to speak of, take the median of all good rows (1 without any)."""
     d = _distance(a, b)
     good = F.when((F.col(hand) == 1) & (d > 1e-6), d)
-    middle = ranks.percentiles(df.select(good.alias("d")), "d", [0.5]).first()  # one number
-    return df.withColumn(name, F.coalesce(good, F.lit(middle[0][0] if middle and middle[0] else 1.0)))
+    middle = ranks.percentiles(df.select(good.alias("d")), "d", [0.5]).agg(F.max(F.try_element_at("percentiles", F.lit(1))).alias("_middle"))  # one row
+    return ranks.same_keys(df, F.broadcast(middle), []).withColumn(name, F.coalesce(good, F.col("_middle"), F.lit(1.0))).drop("_middle")
 
 
 def point_speed(df: DataFrame, x: Column, y: Column, dt: str = "dt", detected: Column | None = None, keys: Key = "session", order: str = "frame_index") -> Column:
@@ -154,14 +159,22 @@ def prepare(df: DataFrame, pose: str = "image", with_motion: bool = True, with_p
     return df, feature_order(df.columns, pose, with_motion, with_pose, with_velocity)
 
 
-def ablations(df: DataFrame, variants: dict[str, dict], keep: list[str]) -> DataFrame:
+#: The runs that the reference compares with the default: arguments of prepare.
+ABLATIONS = {
+    "default": {}, "no_motion": {"with_motion": False}, "motion_only": {"with_pose": False}, "velocity": {"with_velocity": True}, "world": {"pose": "world"},
+    "no_mirror": {"mirror": False}, "centred": {"causal": False}, "no_aspect": {}, "native_rate": {},
+}
+
+
+def ablations(df: DataFrame, variants: dict[str, dict], keep: list[str], inputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Rows of each variant (name -> arguments of prepare) under one another: variant, keep, and its features as one map.
 
-    Variants differ in their features, so these are a map from name to value.
+    Variants differ in their features, so these are a map from name to value. inputs: rows of variants that don't start from df, such as
+    those without aspect correction or at their native rate.
     """
     out = None
     for name, args in variants.items():
-        rows, features = prepare(df, **args)
+        rows, features = prepare((inputs or {}).get(name, df), **args)
         values = F.create_map(*(x for f in features for x in (F.lit(f), F.col(f).cast("double"))))
         rows = rows.select(F.lit(name).alias("variant"), *keep, values.alias("features"))
         out = rows if out is None else out.unionByName(rows)

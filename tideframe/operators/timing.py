@@ -81,10 +81,12 @@ def ticks(rows: DataFrame, fps: float, columns: list[str], order: str = "frame_i
 
 def repair_notes(df: DataFrame, group: Key = (), name: str = "dt", scale: float = 1.0) -> DataFrame:
     """Per group of repaired_steps(): rows, repaired rows, and the median of the rates 1 / step (times scale) after repair."""
-    rate = F.lit(scale) / F.col(name)
-    return df.groupBy(*names(group)).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(f"{name}_repaired")).alias("repaired"), F.percentile(rate, 0.5).alias("median_rate"))
+    g = names(group)
+    rates = df.withColumn("_rate", F.lit(scale) / F.col(name)).select(*g, "_rate", f"{name}_repaired")
+    counts = rates.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(f"{name}_repaired")).alias("repaired"))
+    return ranks.same_keys(counts, ranks.percentiles(rates, "_rate", [0.5], g).select(*g, F.element_at("percentiles", 1).alias("median_rate")), g, "left")
 
 
-def clock_notes(df: DataFrame, keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms") -> DataFrame:
-    """fps (to one place), sessions: a histogram of measured rates."""
-    return session_fps(df, keys, order, ms).groupBy(F.round("fps", 1).alias("fps")).agg(F.count(F.lit(1)).alias("sessions"))
+def clock_notes(df: DataFrame, keys: Key = "session", order: str = "frame_index", ms: str = "timestamp_ms", scale: float = 1.0) -> DataFrame:
+    """fps (times scale, to one place), sessions: a histogram of measured rates."""
+    return session_fps(df, keys, order, ms).groupBy(F.round(F.col("fps") * scale, 1).alias("fps")).agg(F.count(F.lit(1)).alias("sessions"))

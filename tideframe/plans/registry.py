@@ -579,4 +579,4 @@ def signal_correlation(spark, sf_dir):
     return rounded(timeline(spark, sf_dir).groupBy("source").agg(F.corr("score", F.col("k").cast("double")).alias("r"), F.count(F.lit(1)).alias("n")))
 
 
-from tideframe.plans import further, sessions  # noqa: E402, F401  add their queries
+from tideframe.plans import further, reports, sessions  # noqa: E402, F401  add their queries

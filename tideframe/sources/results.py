@@ -23,6 +23,11 @@ def write_results(df: DataFrame, path: str, by: str | None = "run", form: str =
     (w.partitionBy(by) if by and by in df.columns else w).save(path)
 
 
+def write_in_order(df: DataFrame, path: str, order: str = "place") -> None:
+    """Rows in files whose names and lines follow `order`: ranges of it, each sorted, so any number of tasks write them."""
+    df.repartitionByRange(order).sortWithinPartitions(order).write.mode("overwrite").json(path)
+
+
 def wide(summaries: DataFrame, metrics: tuple[str, ...] = WIDE) -> DataFrame:
     """run, dataset, model, window, n_folds, and mean and std of each metric as columns."""
     w = F.col("window")
