@@ -102,4 +102,25 @@ def test_median_of_steps_is_exact():
         m = len(good)
         if steps[-1] == 900.0 and m:
             assert dt == (good[m // 2] + good[(m - 1) // 2]) / 2000
-    assert len(op.s["steps"]) == 4
+    assert len(op.counts) == 4
+
+
+def test_speeds_keep_their_counts_over_batches(spark, tmp_path):
+    """A missing step in the last of several batches is repaired by the median of all good steps before it."""
+    rng, rows, t = random.Random(3), [], 0.0
+    for i in range(200):
+        t += 900.0 if i % 37 == 36 else rng.choice([33.0, 34.0, 40.0])
+        rows.append(("a", i, t, rng.random()))
+    got, _ = run(spark, tmp_path, rows, lambda s: live.trailing_speed(s, n=5))
+    op = live.Speeds(n=5)
+    want = [x for _, i, t, v in rows for x in op.row(i, t, v)]
+    assert sorted((r["frame_index"], round(r["dt"], 9), round(r["mean"], 9), round(r["sd"], 9)) for r in got) == [(r[0], round(r[1], 9), round(r[3], 9), round(r[4], 9)) for r in want]
+
+
+def test_ticks_of_a_long_gap_come_in_parts():
+    """A day between two rows: the frames are bounded, and all ticks are there."""
+    op = live.Ticks(30.0)
+    runner = live.Live(lambda: op, ["session", "frame_index", "timestamp_ms", "source_frame_index", "value"], "f", "t", "v", False)
+    rows = (x for i, t in ((0, 0.0), (1, 86_400_000.0)) for x in op.row(i, t, 1.0))
+    sizes = [len(f) for f in runner._frames(("a",), rows)]
+    assert max(sizes) <= live.MOST_ROWS and sum(sizes) == 30 * 86_400
