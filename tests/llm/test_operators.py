@@ -547,11 +547,12 @@ def test_words_with_marks():
     assert toxicity.words_of("नमस्ते दुनिया, Café e\u0301te\u0301 x1y") == ["नमस्ते", "दुनिया", "café", "e\u0301te\u0301", "x", "y"]
 
 
-def test_segment_rate():
+def test_segment_rate(spark):
     """Of segments that fall off as exp(-S), the rate is their number a word."""
     scores = np.random.default_rng(0).exponential(1.0, 20_000)
-    assert toxicity.segment_rate(scores, 1.0, 200_000) == pytest.approx(0.1, rel=0.05)
-    assert toxicity.segment_rate(np.zeros(0), 1.0, 50) == 0.02
+    as_rows = lambda x: spark.createDataFrame([(float(v),) for v in x], "s double")
+    assert toxicity.segment_rate(as_rows(scores), 1.0, 200_000) == pytest.approx(0.1, rel=0.05)
+    assert toxicity.segment_rate(as_rows([]), 1.0, 50) == 0.02
 
 
 def test_guess_costs():

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -23,7 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.common import FIT_ROWS, fold, keyed_text, labelled_sample, written
+from tideframe.functions import ranks
+from tideframe.llm.common import FIT_ROWS, discard, fold, keyed_text, labelled_sample, written
 
 #: Weight of the Dirichlet prior as a share of the sample's words; z-score for the lexicon; score of every other word.
 PRIOR, Z, OTHER = 0.03, 4.0, -0.25
@@ -134,18 +136,22 @@ def log_odds(sample: DataFrame, prior: float = PRIOR) -> DataFrame:
     return out.withColumn("z", F.col("log_odds") / spread)
 
 
-def segment_rate(scores: np.ndarray, decay: float, words: int) -> float:
-    """K: segments at or above the median of their scores in ordinary text, a word, over what exp(-lambda S) says; one segment without any."""
-    if not len(scores):
+def segment_rate(scores: DataFrame, decay: float, words: int) -> float:
+    """K: segments at or above the median of their scores (s) in ordinary text, a word, over what exp(-lambda S) says; one segment without any.
+
+    The median and the count are all that comes to the driver.
+    """
+    found = ranks.percentiles(scores, "s", [0.5]).first()
+    if found is None or not found["percentiles"]:
         return 1.0 / max(words, 1)
-    middle = float(np.median(scores))
-    return float((scores >= middle).sum() / max(words, 1) * np.exp(decay * middle))
+    middle = found["percentiles"][0]
+    return scores.where(F.col("s") >= middle).count() / max(words, 1) * math.exp(decay * middle)
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector | None:
     """A detector from at most about `bound` labelled rows outside the held-out fold; None where both labels do not occur.
 
-    To the driver come the sample's lexicon, its ordinary texts' segment scores and, for each of its rows, four numbers.
+    To the driver come the sample's lexicon and, for each of its rows, four numbers.
     """
     # copies of a text are one text here, or the words of one much copied toxic text would pass for toxic
     sample = written(labelled_sample(docs, labels, "toxic", ~held_out(), bound).groupBy("text").agg(F.max("y").alias("y")), "toxic-sample")
@@ -167,8 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector |
     def _scores(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [s for *_, s, _ in bare.value.passages(t)[1]])
 
-    ordinary = sample.where("y = 0").select(F.explode(_scores("text")).alias("s")).collect()
-    rate = segment_rate(np.array([r["s"] for r in ordinary]), decay, total)
+    ordinary = written(sample.where("y = 0").select(F.explode(_scores("text")).alias("s")), "toxic-segments")
+    rate = segment_rate(ordinary, decay, total)
     model = spark.sparkContext.broadcast(Detector(lexicon, decay, rate, np.zeros(4)))
 
     @F.pandas_udf("array<double>")
@@ -176,6 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector |
         return texts.map(model.value.summary)
 
     got = sample.select("y", _summary("text").alias("x")).collect()
+    discard(sample, words, ordinary)
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     return Detector(lexicon, decay, rate, logistic(x[:, 1:], y))
 
