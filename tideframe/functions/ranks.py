@@ -40,13 +40,14 @@ def running(df: DataFrame, value: str, weights: list[str], keys: Key = (), bucke
     return out.select(*df.columns, *(c for w in weights for c in ((F.col(f"_earlier_{w}") + F.col(f"_within_{w}")).alias(f"before_{w}"), F.col(f"all_{w}"))))
 
 
-def percentiles(df: DataFrame, value: str, at: list[float], keys: Key = (), name: str = "percentiles") -> DataFrame:
+def percentiles(df: DataFrame, value: str, at: list[float], keys: Key = (), name: str = "percentiles", count: str | None = None) -> DataFrame:
     """keys, <name>: the exact percentiles of the key's values at these shares, interpolated between neighbours, in their order. Nulls don't count.
 
-    Keys without a value have no row; without keys there is one row, of no percentiles where there is no value.
+    Keys without a value have no row; without keys there is one row, of no percentiles where there is no value. count: a column of how often
+    a row counts, for rows that are counted already.
     """
     k = names(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*k, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
     ranked = running(counts, "_v", ["_n"], k)
     # the two places between which each percentile lies, and which values stand there
     place = F.transform(F.array(*(F.lit(float(q)) for q in at)), lambda q: q * (F.col("all__n") - 1))

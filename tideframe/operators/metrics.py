@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideframe.functions import ranks
 from tideframe.functions.expr import Key, f_beta, names, ratio
+from tideframe.functions.staging import staged
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -86,13 +87,15 @@ def fit_threshold(df: DataFrame, true: str, score: str, group: Key = (), beta: f
     """
     g = names(group)
     rows = df.select(*g, F.col(true).alias("_y"), F.nanvl(F.col(score).cast("double"), F.lit(None)).alias("_s")).where("_s is not null")
+    # counted by value once: what follows reads these counts four times
+    rows = staged(rows.groupBy(*g, "_s").agg(F.count_if(F.col("_y") == 1).alias("_p"), F.count(F.lit(1)).alias("_n"), F.min("_y").alias("y0"), F.max("_y").alias("y1")), "counted")
     at = [0.01 + 0.98 * i / (steps - 1) for i in range(steps)] if steps > 1 else [0.5]
-    known = rows.groupBy(*g).agg(F.min("_y").alias("y0"), F.max("_y").alias("y1"), F.count_if(F.col("_y") == 1).alias("pos"))
-    candidates = ranks.same_keys(known, ranks.percentiles(rows, "_s", [*at, 0.5], g, "cs"), g)
+    known = rows.groupBy(*g).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.sum("_p").alias("pos"))
+    candidates = ranks.same_keys(known, ranks.percentiles(rows, "_s", [*at, 0.5], g, "cs", "_n"), g)
     candidates = candidates.select(*g, "y0", "y1", "pos", F.array_distinct(F.slice("cs", 1, len(at))).alias("cs"), F.try_element_at("cs", F.lit(-1)).alias("mid"))
-    both = rows.join(candidates.select(*g, "cs"), g) if g else rows.withColumn("_one", F.lit(1)).join(candidates.select("cs", F.lit(1).alias("_one")), "_one").drop("_one")
+    both = rows.join(candidates.select(*g, "cs"), g) if g else rows.withColumn("_one", F.lit(1)).join(F.broadcast(candidates.select("cs", F.lit(1).alias("_one"))), "_one").drop("_one")
     reached = both.withColumn("c", F.size(F.filter("cs", lambda c: c <= F.col("_s"))))
-    counts = reached.groupBy(*g, "c").agg(F.count_if(F.col("_y") == 1).alias("p"), F.count(F.lit(1)).alias("n"))
+    counts = reached.groupBy(*g, "c").agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     tried = candidates.select(*g, "pos", F.posexplode("cs").alias("k", "threshold"))
     tried = tried.withColumn("c", F.col("k") + 1).join(counts, [*g, "c"], "left")
     above = Window.partitionBy(*g).orderBy(F.desc("c"))
