@@ -305,9 +305,9 @@ def test_recall_of_changed_words(spark):
         rows += [(k + i, edited_words(rng, base, share), "en", "s") for i in range(70)]
         pairs[share, "group"] = [(k, k + i) for i in range(1, 70)]
     brute = dict(zip((r[0] for r in rows), brute_classes(rows), strict=True))
-    for depths in (near_copies.DEPTHS, ()):  # (): what the first bands leave is compared in blocks
+    for levels in (near_copies.LEVELS, ()):  # (): what the first bands leave is compared in blocks
         docs = frame(spark, rows)
-        roots = {r["node"]: r["root"] for r in near_copies.groups(docs, written(near_copies.sketches(docs), "sketches"), depths=depths).collect()}
+        roots = {r["node"]: r["root"] for r in near_copies.groups(docs, written(near_copies.sketches(docs), "sketches"), levels=levels).collect()}
         node = {d: near_copies.node_of(near_copies.words_of(t)) for d, t, *_ in rows}
         mine = {d: roots.get(n, n) for d, n in node.items()}
         assert all(len({brute[d] for d in c}) == 1 for c in sets(mine.items()))
