@@ -5,6 +5,8 @@ Paths are whatever Spark reads; nothing here opens a file itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from tideframe.functions.expr import number, scored, truthy
 from tideframe.functions.staging import staged
 from tideframe.operators import clean, timing
+from tideframe.sources import formats
 
 POINTS = range(21)
 #: A line with this cell is a header; columns may stand in any order.
@@ -56,9 +59,21 @@ def read_landmarks(spark: SparkSession, root: str) -> DataFrame:
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError(f"no sessions under {root}")
-    typed = {"frame_index": F.col("frame_index").cast("long"), "hand_detected": truthy("hand_detected")}
-    typed |= {c: number(c) for c in out.columns if c in LANDMARKS or c in WORLD or c in ("timestamp_ms", "detection_confidence", "tracking_confidence")}
-    return out.withColumns(typed)
+    return typed(out)
+
+
+def typed(frames: DataFrame) -> DataFrame:
+    """Text columns of landmarks as numbers and flags."""
+    kinds = {"frame_index": F.col("frame_index").cast("long"), "hand_detected": truthy("hand_detected")}
+    kinds |= {c: number(c) for c in frames.columns if c in LANDMARKS or c in WORLD or c in ("timestamp_ms", "detection_confidence", "tracking_confidence")}
+    return frames.withColumns(kinds)
+
+
+def read_tree(spark: SparkSession, root: str, *more: str) -> DataFrame:
+    """read_landmarks() by the `sessions` data source: tasks find the files of a participant and read each once; usual columns and `more`, null where a file hasn't them."""
+    formats.register(spark)
+    schema = ", ".join(f"`{c}` string" for c in dict.fromkeys([*formats.COLUMNS, *more]))
+    return typed(spark.read.format("sessions").schema(schema).load(root))
 
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
@@ -79,12 +94,13 @@ def read_resolutions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("aspect", F.coalesce(F.when(F.col("height") != 0, F.col("width") / F.col("height")), "aspect"))
 
 
-def load(spark: SparkSession, root: str, source: str, exclude: list[str] | None = None, fps: float | None = None, legacy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def load(spark: SparkSession, root: str, source: str, exclude: list[str] | None = None, fps: float | None = None, legacy: DataFrame | None = None, reader: Callable[[SparkSession, str], DataFrame] = read_landmarks) -> tuple[DataFrame, DataFrame]:
     """The timeline of a corpus (landmarks joined with labels, aspect resolved, put on a common clock if fps is given), and the sessions left out.
 
-    Sessions with an empty join or an unknown label are left out whole and listed with their unknown labels.
+    Sessions with an empty join or an unknown label are left out whole and listed with their unknown labels. reader: read_tree for
+    trees of many sessions, read_landmarks where columns that nobody named are to be kept.
     """
-    frames = clean.exclude(read_landmarks(spark, root), exclude or [])
+    frames = clean.exclude(reader(spark, root), exclude or [])
     rows = clean.with_labels(frames, read_labels(spark, root), "session").withColumn("source", F.lit(source))
     good, bad = clean.quarantine(rows)
     empty = frames.select("session").distinct().join(rows.select("session").distinct(), "session", "left_anti")
@@ -98,6 +114,6 @@ def load(spark: SparkSession, root: str, source: str, exclude: list[str] | None
     legacy = legacy if legacy is not None else spark.createDataFrame([], "key string, aspect double")
     out = clean.with_aspect(good, meta.withColumn("source", F.lit(source)), legacy)
     out = out.withColumn("scored", scored())
-    if fps and "timestamp_ms" in out.columns:
+    if fps and "timestamp_ms" in out.columns and not out.where("timestamp_ms is not null").isEmpty():
         out = timing.resample(out, fps)
     return out, bad
