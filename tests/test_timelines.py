@@ -105,6 +105,13 @@ def test_matching_ties(spark):
     assert [(r["i"], r["j"]) for r in got] == [(0, 0)]  # both 10 away: the first
 
 
+def test_threshold_of_equal_f(spark):
+    """12 rows found with 2 hits and 5 with 1 have the same F of 2/7: the lower threshold is taken."""
+    df = spark.createDataFrame([(int(k == 0), 0.25) for k in range(7)] + [(int(k == 0), 0.75) for k in range(5)], "y int, p double")
+    got = metrics.fit_threshold(df, "y", "p").first()
+    assert got["threshold"] == pytest.approx(0.25) and got["score"] == 2 * 2 / (12 + 2)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_threshold_fit(spark, seed):
     rng = random.Random(seed)
