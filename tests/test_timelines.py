@@ -1,12 +1,18 @@
 """Runs, smoothing, events and metrics against hand-computed values and against one-pass Python."""
 
+import math
+import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests import naive
 from tideframe.operators import compare, events, folds, metrics, runs, smoothing, summary, timing, windows
+from tideframe.plans import further, registry
+
+SF = os.environ.get("TIDEFRAME_TEST_SF", "/root/testdata/sf0.001")
 
 
 def frames(spark, sessions, more=("y_true", "y_pred")):
@@ -283,6 +289,23 @@ def test_statistics():
     assert compare.chi2_tail(16.918977604620448, 9) == pytest.approx(0.05, abs=1e-9)
 
 
+def grown(copies, name):
+    """The SQL of a query over so many copies of the smallest events, with keys of their own."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * REPLACE (event_id + c * 10000000 AS event_id, user_id + c * 30000 AS user_id) FROM '{SF}/events.parquet', range({copies}) t(c)")
+    return con.sql(registry.ORACLE_SQL[name]).df()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_error_function_of_sql():
+    """As good for large numbers of folds as for small ones."""
+    for z in [0.0, 0.3, 1.9, 2.0, 2.1, 4.0, 8.0, 20.0]:
+        got = duckdb.sql(f"SELECT {further._ERFC} FROM (SELECT {z}::DOUBLE AS z)").fetchall()[0][0]
+        assert got == pytest.approx(math.erfc(z), rel=1e-9, abs=1e-300)
+    p = grown(100, "wilcoxon_holm")
+    assert p["p"].between(0, 1).all() and p["p_holm"].min() < 1e-6
+
+
 def test_friedman_and_holm(spark):
     scores = {"x": [9, 9.5, 5, 8.5, 9.5, 7.5, 8, 7, 8.5, 6], "y": [7, 6.5, 7, 7.5, 5, 8, 6, 6.5, 7, 7], "z": [6, 8, 4, 6, 7, 6.5, 6, 4, 6.5, 3]}
     rows = [(c, f"f{i}", float(s)) for c, v in scores.items() for i, s in enumerate(v)] + [("x", "only_x", 1.0)]
