@@ -306,6 +306,14 @@ def test_error_function_of_sql():
     assert p["p"].between(0, 1).all() and p["p_holm"].min() < 1e-6
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("copies", [1, 20, 300])
+def test_chi2_of_sql(copies):
+    """The tail that the SQL of friedman has, for any number of folds."""
+    rows = grown(copies, "friedman")
+    assert len(rows) and all(r["p"] == pytest.approx(compare.chi2_tail(r["chi2"], 3), abs=2e-6) for _, r in rows.iterrows())
+
+
 def test_friedman_and_holm(spark):
     scores = {"x": [9, 9.5, 5, 8.5, 9.5, 7.5, 8, 7, 8.5, 6], "y": [7, 6.5, 7, 7.5, 5, 8, 6, 6.5, 7, 7], "z": [6, 8, 4, 6, 7, 6.5, 6, 4, 6.5, 3]}
     rows = [(c, f"f{i}", float(s)) for c, v in scores.items() for i, s in enumerate(v)] + [("x", "only_x", 1.0)]
