@@ -365,3 +365,66 @@ def test_recall_of_near_copies(spark, texts, passage, share, least):
     aligned = [i for i, c in enumerate(copies) if near_copies.aligned(coded(base[i]), coded(c))]
     assert len(aligned) > 50 and sum(got[i] == got[10**6 + i] for i in aligned) >= least * len(aligned)
     assert all(got[i] == i for i in range(texts))
+
+
+def test_links_that_sketches_miss(spark):
+    """All pairs that align are joined, whatever their length and however they lie: short texts, pairs at the limit itself, and at it beside a passage that all share."""
+    from tideframe.llm import near_copies
+    from tideframe.llm.quality_rules import word_hashes
+
+    rng = random.Random(77)
+    words = [f"w{i}" for i in range(400)]
+    common = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for k in range(220):
+        n = (rng.randint(5, 16), rng.randint(17, 60), 60)[k % 3]
+        base = (common if k % 3 == 2 else []) + [rng.choice(words) for _ in range(n)]
+        most, copy = near_copies.most_edits(len(base)), list(base)
+        for i in rng.sample(range(len(copy)), rng.choice([most, most, max(most - 1, 0)])):
+            copy[i] = f"new{rng.randint(0, 99)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy if k % 4 else copy[1:] + ["last"]))]
+    coded = [word_hashes([w.encode() for w in t.split()]).astype(np.uint32) for _, t in rows]
+    top = list(range(len(rows)))
+
+    def of(k):
+        return k if top[k] == k else of(top[k])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.aligned(coded[i], coded[j]):
+                top[max(of(i), of(j))] = min(of(i), of(j))
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i] for i in range(len(rows))] == [of(i) for i in range(len(rows))] and len(set(got.values())) < 300
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_prefixes_meet(least):
+    """Of two texts that align, the prefixes meet in as many words as a link asks for, at places that the edits allow."""
+    from tideframe.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(1, 50, 1024).astype(np.uint32)
+    seen = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 250))
+        a = rng.integers(0, rng.choice([20, 300, 5000]), n).astype(np.uint32)
+        b = list(a)
+        for _ in range(int(rng.integers(0, near_copies.most_edits(n, least) + 1))):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i : i + int(rng.integers(0, 2))] = [int(rng.integers(0, 5000))] * int(rng.integers(0, 2))
+        b = np.array(b, np.uint32)
+        if not len(b) or not near_copies.aligned(a, b, least):
+            continue
+        seen += 1
+        longer = max(n, len(b))
+        most = near_copies.most_edits(longer, least)
+        needed = min(longer - most, longer // near_copies.SPARE + 1)
+        (ha, xa), (hb, xb) = (near_copies.prefix(w, counts, least) for w in (a, b))
+        in_b, met = {h: k for k, h in enumerate(hb.tolist())}, 0
+        for i, h in enumerate(ha.tolist()):
+            j = in_b.get(h)
+            if j is not None and i < n - longer + most + needed and j < len(b) - longer + most + needed:
+                x, y = int(xa[i]), int(xb[j])
+                met += x < 0 or y < 0 or abs(x - y) + abs((n - x) - (len(b) - y)) <= most
+        assert met >= needed
+    assert seen > 200
