@@ -428,3 +428,53 @@ def test_prefixes_meet(least):
                 met += x < 0 or y < 0 or abs(x - y) + abs((n - x) - (len(b) - y)) <= most
         assert met >= needed
     assert seen > 200
+
+
+def test_prefixes_of_grams_meet():
+    """Where frequent words are parts of grams, texts that align meet in as many grams as both ask for, at places that the edits allow; inserted words part grams too."""
+    from tideframe.llm import near_copies
+
+    rng = np.random.default_rng(6)
+    counts = rng.integers(1, 50, 1024).astype(np.uint32)
+    often, total, seen, long = (np.zeros(0, np.uint64), np.zeros(0)), float(counts.sum()), 0, 0
+    for round_ in range(600):
+        n = int(rng.integers(1, 250))
+        a = rng.integers(0, rng.choice([3, 20, 300, 5000]), n).astype(np.uint32)
+        b = list(a)
+        for _ in range(int(rng.integers(0, near_copies.most_edits(n) * 5 // 4 + 1))):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i : i + (0 if round_ % 2 else int(rng.integers(0, 2)))] = [int(rng.integers(0, 5000))] * (1 if round_ % 2 else int(rng.integers(0, 2)))
+        b = np.array(b, np.uint32)
+        if not len(b) or (n == len(b) and (a == b).all()) or not near_copies.aligned(a, b):
+            continue
+        seen += 1
+        most, met = near_copies.most_edits(max(n, len(b))), 0
+        rare = (0.5, 10, 40)[round_ % 3]
+        (ha, xa, ka, pa), (hb, xb, kb, pb) = (near_copies.prefix_of(w, counts, 0.8, rare, total, often, near_copies.longest_gram()) for w in (a, b))
+        early = most + min(ka, kb)
+        at = {h: y for h, y, p in zip(hb.tolist(), xb.tolist(), pb.tolist(), strict=True) if p < early}
+        for h, x, p in zip(ha.tolist(), xa.tolist(), pa.tolist(), strict=True):
+            if h in at and p < early:
+                y = at[h]
+                met += x < 0 or y < 0 or abs(x - y) + abs((n - x) - (len(b) - y)) <= most
+        assert met >= min(ka, kb) >= 1
+        long += min(ka, kb) > 1
+    assert seen > 300 and long > 100
+
+
+def test_buckets_of_the_exact_join_do_not_grow_with_the_table(spark):
+    """Four times the texts of the same words give about four times the meetings, not sixteen times; copies are joined in both tables."""
+    from pyspark.sql import functions as F
+
+    from tideframe.llm import near_copies
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    met = []
+    for n in (750, 3000):
+        rows = [(i, " ".join(rng.choice(words) for _ in range(100))) for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        nodes = near_copies.sketches(docs).select("node", "key")
+        members = near_copies._prefixes(written(near_copies._node_words(docs, nodes).withColumn("root", F.lit(None).cast("binary")), "words"), near_copies.SIMILARITY)
+        met.append(near_copies._met(members, members, ["bucket"], near_copies.SIMILARITY).count())
+    assert met[1] <= 8 * max(met[0], 1000), met
