@@ -478,3 +478,70 @@ def test_buckets_of_the_exact_join_do_not_grow_with_the_table(spark):
         members = near_copies._prefixes(written(near_copies._node_words(docs, nodes).withColumn("root", F.lit(None).cast("binary")), "words"), near_copies.SIMILARITY)
         met.append(near_copies._met(members, members, ["bucket"], near_copies.SIMILARITY).count())
     assert met[1] <= 8 * max(met[0], 1000), met
+
+
+def brute_links(rows):
+    """Least place of each row's class, by aligning all pairs."""
+    from tideframe.llm import near_copies
+    from tideframe.llm.quality_rules import word_hashes
+
+    coded, top = [word_hashes([w.encode() for w in t.split()]).astype(np.uint32) for _, t in rows], list(range(len(rows)))
+
+    def of(k):
+        return k if top[k] == k else of(top[k])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if near_copies.aligned(coded[i], coded[j]):
+                top[max(of(i), of(j))] = min(of(i), of(j))
+    return [of(i) for i in range(len(rows))]
+
+
+def repeating(rng, n):
+    """Texts of lines that they repeat and share with many others, and as many copies with as many edits as a link allows, or one more."""
+    from tideframe.llm import near_copies
+
+    words = [f"w{i}" for i in range(300)]
+    line = lambda k: [rng.choice(words) for _ in range(k)]
+    shared, rows = [line(12) for _ in range(3)], []
+    for k in range(n):
+        base = line(rng.randint(3, 12)) * rng.randint(1, 6) + rng.choice(shared) * rng.randint(0, 3) + line(rng.randint(0, 20))
+        most, copy = near_copies.most_edits(len(base)), list(base)
+        for i in rng.sample(range(len(copy)), min(len(copy), most + k % 2)):
+            copy[i : i + 1] = [] if rng.random() < 0.2 else [rng.choice(words) if rng.random() < 0.5 else f"new{rng.randint(0, 99)}"]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy) or "none")]
+    return rows
+
+
+@pytest.mark.parametrize("changed", [{"SAMPLE": 0}, {"SAMPLE": 3}, {"SAMPLE": 10**9}, {"RARE": 0.001, "BLOCK": 8, "RANGE": 500, "NEAREST": 1}])
+def test_links_of_texts_that_repeat_lines(spark, monkeypatch, changed):
+    """All links, whatever texts are sampled for the order of grams, none or all of them; and where all grams are frequent ones, compared in small blocks."""
+    from tideframe.llm import near_copies
+
+    for name, value in changed.items():
+        monkeypatch.setattr(near_copies, name, value, raising=False)
+    rows = repeating(random.Random(12), 130)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = written(near_copies.sketches(docs), "sketches")
+    for levels in (near_copies.LEVELS, ()):
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in near_copies.groups(docs, known, levels=levels).collect()}
+        node = [near_copies.node_of(near_copies.words_of(t)) for _, t in rows]
+        least: dict = {}
+        got = [least.setdefault(roots.get(x, x), k) for k, x in enumerate(node)]
+        assert got == brute_links(rows) and len(set(got)) < 220
+
+
+def test_texts_that_repeat_lines_do_not_meet_by_a_shared_one(spark):
+    """A text of one line over and over has as many places of its own as any other, so what all share isn't in its prefix."""
+    from pyspark.sql import functions as F
+
+    from tideframe.llm import near_copies
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    shared = [rng.choice(words) for _ in range(12)]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(12)] * 12 + shared)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = near_copies.sketches(docs).select("node", "key")
+    members = near_copies._prefixes(written(near_copies._node_words(docs, nodes).withColumn("root", F.lit(None).cast("binary")), "words"), near_copies.SIMILARITY)
+    assert near_copies._all_met(members, near_copies.SIMILARITY).count() < 300
